@@ -1,20 +1,87 @@
-"""Vector search queries."""
+"""Vector search, duplicates and selection."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.vector import cosine, norm
+from lodestone.functions.scores import jaccard
+from lodestone.functions.text import words
+from lodestone.functions.vector import as_double, cosine, is_finite, norm
+from lodestone.operators.selection import diversity, mmr_select
 from lodestone.plans.registry import query
 from lodestone.session import load
 
-_COS = "coalesce(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / nullif(sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 0), 0)"
 
+def cos_sql(a: str, b: str) -> str:
+    dot = lambda x, y: f"list_inner_product({x}::DOUBLE[], {y}::DOUBLE[])"
+    return f"coalesce({dot(a, b)} / nullif(sqrt({dot(a, a)}) * sqrt({dot(b, b)}), 0), 0)"
 
-@query(f"SELECT b.vec_id, b.label, round({_COS}, 6) AS score FROM embeddings b, (SELECT embedding FROM embeddings WHERE vec_id = 0) a WHERE len(b.embedding) > 0 AND b.vec_id <> 0 ORDER BY score DESC, b.vec_id LIMIT 10")
+
+_COS = cos_sql("a.embedding", "b.embedding")
+
+
+@query(f"SELECT b.vec_id, b.label, round({_COS}, 6) AS score FROM embeddings b, (SELECT embedding FROM embeddings WHERE vec_id = 0) a WHERE len(b.embedding) > 0 AND b.vec_id <> 0 ORDER BY {_COS} DESC, b.vec_id LIMIT 10")
 def vector_topk(spark, sf_dir):
-    """Ten nearest by cosine to vector 0."""
+    """FILT-3, MATH-1, SORT-1: ten nearest by cosine to vector 0."""
+    v = load(spark, sf_dir, "embeddings")
+    q = v.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
+    rest = v.where((F.size("embedding") > 0) & (F.col("vec_id") != 0)).join(F.broadcast(q)).withColumn("s", cosine("embedding", "q"))
+    return rest.orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", "label", F.round("s", 6).alias("score"))
+
+
+@query(f"SELECT query_id, rank, vec_id, score FROM (SELECT a.vec_id AS query_id, b.vec_id, round({_COS}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 8 AND a.vec_id <> b.vec_id) WHERE rank <= 5")
+def vector_topk_batch(spark, sf_dir):
+    """SORT-1 for a bounded batch of eight stated queries in one job."""
+    v = load(spark, sf_dir, "embeddings")
+    q = v.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).limit(8)
+    j = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", cosine("embedding", "q").alias("s"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
+    return j.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "rank", "vec_id", F.round("s", 6).alias("score"))
+
+
+@query(f"SELECT b.vec_id, round({_COS}, 6) AS score FROM embeddings b, (SELECT embedding FROM embeddings WHERE vec_id = 1) a WHERE b.label = 3 ORDER BY {_COS} DESC, b.vec_id LIMIT 5")
+def vector_filter_label_topk(spark, sf_dir):
+    """FILT-4 before SORT-1: the filter reaches the scan."""
+    v = load(spark, sf_dir, "embeddings")
+    q = v.where("vec_id = 1").select(F.col("embedding").alias("q")).limit(1)
+    return v.where("label = 3").join(F.broadcast(q)).withColumn("s", cosine("embedding", "q")).orderBy(F.desc("s"), "vec_id").limit(5).select("vec_id", F.round("s", 6).alias("score"))
+
+
+@query("WITH d AS (SELECT arg_min(len(embedding), vec_id) AS dim FROM embeddings) SELECT label, count(*) AS n, round(avg(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS mean_norm, CAST(sum(CASE WHEN embedding IS NULL OR len(embedding) <> d.dim OR len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS invalid FROM embeddings, d GROUP BY label")
+def vector_norms_invalid(spark, sf_dir):
+    """FILT-18, IDX-5: invalid against the dimension of the first vector."""
     v = load(spark, sf_dir, "embeddings")
-    q = v.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    rest = v.where((F.size("embedding") > 0) & (F.col("vec_id") != 0))
-    return rest.join(F.broadcast(q)).select("vec_id", "label", F.round(cosine("embedding", "q"), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+    dim = v.agg(F.min_by(F.size("embedding"), "vec_id").alias("dim"))
+    bad = F.col("embedding").isNull() | (F.size("embedding") != F.col("dim")) | ~is_finite("embedding")
+    return v.join(F.broadcast(dim)).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(norm("embedding")), 6).alias("mean_norm"), F.sum(bad.cast("long")).alias("invalid"))
+
+
+@query(f"SELECT round(1 - avg({_COS}), 6) AS diversity FROM embeddings a, embeddings b WHERE a.vec_id < 50 AND b.vec_id < 50 AND a.vec_id < b.vec_id")
+def pairwise_diversity(spark, sf_dir):
+    """JOIN-27, AGG-30 over a bounded selection of fifty."""
+    return diversity(load(spark, sf_dir, "embeddings").where("vec_id < 50"), "vec_id", "embedding").select(F.round("diversity", 6).alias("diversity"))
+
+
+@query("SELECT count(*) AS groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates, CAST(coalesce(sum((n - 1) * dim * 4), 0) AS BIGINT) AS bytes FROM (SELECT embedding, count(*) AS n, len(embedding) AS dim FROM embeddings GROUP BY embedding HAVING count(*) > 1)")
+def duplicate_vectors(spark, sf_dir):
+    """AGG-14: groups of equal vectors and the bytes they waste."""
+    g = load(spark, sf_dir, "embeddings").groupBy("embedding").agg(F.count("*").alias("n")).where("n > 1").withColumn("dim", F.size("embedding"))
+    return g.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"), F.coalesce(F.sum((F.col("n") - 1) * F.col("dim") * 4), F.lit(0)).alias("bytes"))
+
+
+@query()
+def mmr_selection(spark, sf_dir):
+    """MMR-1 to MMR-5: critical rows first, then greedy selection under a token budget; one group per label."""
+    v, d = load(spark, sf_dir, "embeddings"), load(spark, sf_dir, "documents")
+    c = v.join(d, F.col("vec_id") == F.col("doc_id")).select(F.col("label").cast("long").alias("query_id"), F.col("vec_id").alias("id"), "embedding", (1 / (1 + F.col("vec_id") % 17)).alias("relevance"), F.ceil(F.length("text") / 4).alias("tokens"), (F.col("vec_id") % 50 == 0).alias("critical"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("critical"), F.desc("relevance"), "id")
+    return mmr_select(c.withColumn("r", F.row_number().over(best)).where("r <= 1000"), 10)
+
+
+@query("WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '')) AS t FROM documents WHERE doc_id < 40) SELECT a.doc_id AS a, b.doc_id AS b, round(coalesce(len(list_intersect(a.t, b.t)) / nullif(len(list_distinct(list_concat(a.t, b.t))), 0), 0), 6) AS score FROM w a, w b WHERE a.doc_id < b.doc_id ORDER BY score DESC, a, b LIMIT 20")
+def jaccard_pairs(spark, sf_dir):
+    """MATH-2, SET-4 over a bounded selection (the diversity measure compares all selected pairs)."""
+    w = load(spark, sf_dir, "documents").where("doc_id < 40").select("doc_id", F.array_distinct(words(F.col("text"))).alias("t"))
+    a, b = w.select(F.col("doc_id").alias("a"), F.col("t").alias("x")), w.select(F.col("doc_id").alias("b"), F.col("t").alias("y"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(jaccard(F.col("x"), F.col("y")), 6).alias("score")).orderBy(F.desc("score"), "a", "b").limit(20)

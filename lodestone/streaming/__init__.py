@@ -1 +1 @@
-
+"""Structured Streaming over file events and telemetry."""
