@@ -16,7 +16,8 @@ bucket; every member is first aligned with the bucket's smallest document
 (a star, not all pairs). Only buckets whose members then lie in different
 components are looked at again: members outside the largest component are
 compared with all members, in blocks, by two lower bounds of the distance
-(lengths and word histograms) that lose no link; what passes is aligned. So
+(lengths and word histograms) that lose no link; what passes is aligned, best
+first, unless earlier links have joined its components. So
 no pair that shares a sketch and is similar enough stays unconnected, and a
 bucket of any size is split into blocks of bounded size.
 
@@ -40,7 +41,7 @@ from lodestone.session import load, materialize
 
 K, L, SKETCHES, SIMILARITY = 5, 2, 24, 0.8
 HISTOGRAM = 256
-BLOCK = 512
+BLOCK = 256
 BROADCAST_IDS = 1_000_000
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -122,35 +123,61 @@ def _original(s: TextSlice) -> tuple[memoryview, list[int]]:
     return memoryview(np.ascontiguousarray(data)), offs.tolist()
 
 
-_WORDS = pa.schema([("doc_id", pa.int64()), ("words", pa.binary()), ("histogram", pa.binary())])
+_WORDS = pa.schema([("doc_id", pa.int64()), ("words", pa.binary())])
 
 
 def _word_rows(batches):
     for s in text_slices(batches, lower=True):
         words, row_at = word_hashes(s)
         short = (words & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        arrays, hists = [], []
-        for a, b in zip(row_at[:-1].tolist(), row_at[1:].tolist(), strict=True):
-            arrays.append(short[a:b].tobytes())
-            hists.append(np.minimum(np.bincount(short[a:b] % HISTOGRAM, minlength=HISTOGRAM), 255).astype(np.uint8).tobytes())
-        yield pa.record_batch([s.column("doc_id"), pa.array(arrays, pa.binary()), pa.array(hists, pa.binary())], schema=_WORDS)
-
-
-def banded_distance(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray, band: int = 16) -> np.ndarray:
-    """Edit distance of every pair of id arrays, or a number above its limit; pairs advance in lockstep within a diagonal band."""
-    out = np.array([max(len(a), len(b)) for a, b in pairs], np.int64)
-    todo = np.array([i for i, (a, b) in enumerate(pairs) if abs(len(a) - len(b)) <= limits[i]], np.int64)
-    missing = np.ones(len(pairs), bool)
-    missing[todo] = False
-    out[missing] = limits[missing] + 1
+        arrays = [short[a:b].tobytes() for a, b in zip(row_at[:-1].tolist(), row_at[1:].tolist(), strict=True)]
+        yield pa.record_batch([s.column("doc_id"), pa.array(arrays, pa.binary())], schema=_WORDS)
+
+
+def _trim(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without the common beginning and end, which cost nothing in an optimal alignment."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    p = int(differ[0]) if len(differ) else n
+    a, b, n = a[p:], b[p:], n - p
+    differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
+    q = int(differ[0]) if len(differ) else n
+    return a[: len(a) - q], b[: len(b) - q]
+
+
+def bag_bound(a: np.ndarray, b: np.ndarray, bins: int = 1024) -> int:
+    """A lower bound of the edit distance: half the difference of the word histograms, or of the lengths."""
+    diff = np.bincount(a % bins, minlength=bins) - np.bincount(b % bins, minlength=bins)
+    return max(-(-int(np.abs(diff).sum()) // 2), abs(len(a) - len(b)))
+
+
+def banded_distance(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray, band: int = 8) -> np.ndarray:
+    """Edit distance of every pair of id arrays, or a number above its limit.
+
+    Each pair starts with a band just above its lower bound and doubles it until
+    the result is certain; pairs of one band advance in lockstep.
+    """
+    out = np.asarray(limits, np.int64) + 1
+    short = [_trim(a, b) for a, b in pairs]
+    bound = np.array([bag_bound(a, b) for a, b in short], np.int64)
+    bands = np.full(len(pairs), band, np.int64)
+    while (low := bands < bound * 5 // 4 + 2).any():
+        bands[low] *= 2
+    todo = np.flatnonzero(bound <= limits)
     while len(todo):
         again = []
-        for group in np.array_split(todo[np.argsort([len(pairs[i][0]) for i in todo], kind="stable")], -(-len(todo) // 256)):
-            got = _band([pairs[i] for i in group], band)
-            sure = (got <= band) | (band >= limits[group]) | (band >= np.array([max(len(pairs[i][0]), len(pairs[i][1])) for i in group]))
-            out[group[sure]] = np.where(got[sure] <= np.minimum(limits[group[sure]], band), got[sure], limits[group[sure]] + 1)
-            again.append(group[~sure])
-        todo, band = np.concatenate(again), band * 2
+        for w in np.unique(bands[todo]):
+            mine = todo[bands[todo] == w]
+            mine = mine[np.argsort([max(map(len, short[i])) for i in mine], kind="stable")]
+            for at in range(0, len(mine), 256):
+                group = mine[at : at + 256]
+                got = _band([short[i] for i in group], int(w))
+                sure = (got <= w) | (w >= limits[group]) | (w >= np.array([max(map(len, short[i])) for i in group]))
+                done = group[sure]
+                out[done] = np.where(got[sure] <= limits[done], got[sure], limits[done] + 1)
+                again.append(group[~sure])
+        todo = np.concatenate(again)
+        bands[todo] *= 2
     return out
 
 
@@ -158,31 +185,36 @@ def _band(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
     """Distances within ``band`` diagonals on either side; exact where the result is at most ``band``."""
     n, m = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
     rows, width = int(n.max(initial=0)), 2 * band + 1
-    a = np.zeros((len(pairs), rows), np.uint32)
-    b = np.zeros((len(pairs), int(max(m.max(initial=0), rows)) + width), np.uint32)
-    inside = np.zeros(b.shape, bool)
+    cell = np.int16 if band < 8000 else np.int32
+    big = cell(2 * band + 2)  # values above the band need no more than to stay above it
+    a = np.zeros((rows, len(pairs)), np.uint32)
+    b = np.zeros((int(max(m.max(initial=0), rows)) + width, len(pairs)), np.uint32)
+    outside = np.ones(b.shape, bool)
     for i, (x, y) in enumerate(pairs):
-        a[i, : len(x)], b[i, band : band + len(y)], inside[i, band : band + len(y)] = x, y, True
-    big = np.int32(1 << 20)
-    k = np.arange(width, dtype=np.int32)
-    row = np.where((k >= band) & (k - band <= m[:, None]), k - band, big).astype(np.int32)
-    out = np.full(len(pairs), big, np.int32)
+        a[: len(x), i], b[band : band + len(y), i], outside[band : band + len(y), i] = x, y, False
+    k = np.arange(width)[:, None]
+    row = np.where((k >= band) & (k - band <= m), np.minimum(k - band, int(big)), int(big)).astype(cell)
+    out = np.full(len(pairs), int(big), np.int64)
     last = m - n + band
-    fits = (last >= 0) & (last < width)
-    pick = np.clip(last, 0, width - 1)
+    fits, pick = (last >= 0) & (last < width), np.clip(last, 0, width - 1)
+    ramp = np.arange(width, dtype=cell)[:, None]
     for i in range(rows + 1):
         if i:
-            j0 = i - 1  # column of k is i - band + k; its word sits at j0 + k in the padded b
-            step = row + ((b[:, j0 : j0 + width] != a[:, j0 : j0 + 1]) | ~inside[:, j0 : j0 + width])
-            np.minimum(step[:, :-1], row[:, 1:] + 1, out=step[:, :-1])
-            col = i - band + k
-            step[:, col < 0] = big
-            step[:, col == 0] = i
-            row = (np.minimum.accumulate(step - k, axis=1) + k).astype(np.int32)
-            row[:, col < 0] = big
-        done = (n == i) & fits
-        if done.any():
-            out[done] = row[done, pick[done]]
+            step = row + ((b[i - 1 : i - 1 + width] != a[i - 1]) | outside[i - 1 : i - 1 + width])
+            np.minimum(step[:-1], row[1:] + cell(1), out=step[:-1])
+            if i < band:
+                step[: band - i] = big
+            if i <= band:
+                step[band - i] = min(i, int(big))
+            step -= ramp
+            row = np.minimum.accumulate(step, axis=0)
+            row += ramp
+            np.minimum(row, big, out=row)
+            if i < band:
+                row[: band - i] = big
+        done = np.flatnonzero((n == i) & fits)
+        if len(done):
+            out[done] = row[pick[done], done]
     return out
 
 
@@ -214,28 +246,58 @@ def verify(pairs: DataFrame, words: DataFrame, similarity: float, hub_rows: int
     return both.mapInArrow(_align(similarity), "u long, v long")
 
 
-def _screen(similarity: float):
-    """Pairs of a block that the lower bounds do not rule out: side 0 against side 1, different components."""
+def _limits(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    return np.floor((1 - similarity) * np.maximum(x, y) + 1e-9).astype(np.int64)
+
+
+def _second_look(similarity: float):
+    """Links of a block between side 0 and side 1 across components; a component that is joined is not looked at again.
+
+    Every pair of the block ends in one component, is ruled out by a lower
+    bound, or is aligned; a pair with several shared sketches is left to the
+    bucket of the first. At most one link is written for each joined component.
+    """
 
     def run(pdf):
         import pandas as pd
 
-        side = pdf["side"].to_numpy()
-        rep, comp, size = (pdf[c].to_numpy() for c in ("rep", "component", "n_words"))
-        hist = np.frombuffer(b"".join(pdf["histogram"]), np.uint8).reshape(-1, HISTOGRAM).astype(np.int16)
+        pdf = pdf.sort_values(["side", "rep"])
+        side, rep, comp, size = (pdf[c].to_numpy() for c in ("side", "rep", "component", "n_words"))
+        words = [np.frombuffer(x, np.uint32) for x in pdf["words"]]
+        hist = np.stack([np.minimum(np.bincount(w % HISTOGRAM, minlength=HISTOGRAM), 255) for w in words]).astype(np.int16)
+        sk, bucket = np.array(pdf["sketch"].tolist()), pdf["bucket"].iloc[0]
+        here = int(np.flatnonzero((sk == bucket).all(0))[0])
+        _, root = np.unique(comp, return_inverse=True)
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        us, vs = [], []
+        queue: dict[int, np.ndarray] = {}
         for i in a:
-            longest = np.maximum(size[i], size[b])
-            limit = np.floor((1 - similarity) * longest + 1e-9)
-            ok = (comp[b] != comp[i]) & (np.abs(size[b] - size[i]) <= limit)
-            c = b[ok]
+            limit = _limits(size[b], size[i], similarity)
+            c = b[(root[b] != root[i]) & (np.abs(size[b] - size[i]) <= limit)]
+            c = c[(sk[c] == sk[i]).argmax(1) == here]  # a pair is the business of its first shared sketch
             if len(c):
                 bound = np.abs(hist[c] - hist[i]).sum(1) / 2
-                c = c[bound <= limit[ok]]
-                us.append(np.minimum(rep[c], rep[i]))
-                vs.append(np.maximum(rep[c], rep[i]))
-        return pd.DataFrame({"u": np.concatenate(us) if us else np.zeros(0, np.int64), "v": np.concatenate(vs) if vs else np.zeros(0, np.int64)})
+                ok = bound <= _limits(size[c], size[i], similarity)
+                if ok.any():
+                    queue[i] = c[ok][np.argsort(bound[ok], kind="stable")]
+        links = []
+        while queue:
+            pairs = []
+            for i in list(queue):
+                left = queue[i][root[queue[i]] != root[i]]
+                if not len(left):
+                    del queue[i]
+                    continue
+                pairs += [(i, j) for j in left[:2]]
+                queue[i] = left[2:]
+            if not pairs:
+                break
+            limit = np.array([int((1 - similarity) * max(size[i], size[j]) + 1e-9) for i, j in pairs])
+            close = banded_distance([(words[i], words[j]) for i, j in pairs], limit) <= limit
+            for (i, j), ok in zip(pairs, close, strict=True):
+                if ok and root[i] != root[j]:
+                    links.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+                    root[root == root[j]] = root[i]
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
     return run
 
@@ -254,7 +316,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     stars = members.where((F.col("rep") != F.col("head.rep")) & close).select(F.col("head.rep").alias("u"), F.col("rep").alias("v")).distinct()
     wanted = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "omh-candidates")
     texts = own.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
-    words = materialize(texts.mapInArrow(_word_rows, "doc_id long, words binary, histogram binary").dropDuplicates(["doc_id"]), "omh-words")
+    words = materialize(texts.mapInArrow(_word_rows, "doc_id long, words binary").dropDuplicates(["doc_id"]), "omh-words")
     links = materialize(verify(stars, words, similarity), "omh-links")
     # second look: buckets that still hold several components
     labels = components(links)
@@ -262,13 +324,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     by_comp = tagged.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = by_comp.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where(F.col("kinds") > 1)
     mixed = mixed.select("bucket", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("cols"))
-    place = tagged.join(mixed, "bucket").join(words.select(F.col("doc_id").alias("rep"), "histogram"), "rep")
-    cols = ["bucket", "rep", "n_words", "component", "histogram"]
+    place = tagged.join(mixed, "bucket").join(words.select(F.col("doc_id").alias("rep"), "words"), "rep").join(reps.select("rep", "sketch"), "rep")
+    cols = ["bucket", "rep", "n_words", "component", "words", "sketch"]
     strays = place.where(F.col("component") != F.col("main")).select(*cols, F.lit(0).alias("side"), F.pmod(F.xxhash64("rep"), F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
     everyone = place.select(*cols, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("rep"), F.col("cols")).cast("int").alias("j"))
-    screened = strays.unionByName(everyone).groupBy("bucket", "i", "j").applyInPandas(_screen(similarity), "u long, v long").distinct()
-    fresh = materialize(screened.join(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "omh-second")
-    more = materialize(verify(fresh, words, similarity), "omh-links-second")
+    second = strays.unionByName(everyone).groupBy("bucket", "i", "j").applyInPandas(_second_look(similarity), "u long, v long")
+    more = materialize(second.distinct(), "omh-links-second")
     final = components(links.unionByName(more))
     by_text = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("text_hash", F.coalesce("component", "rep").alias("class_id"))
     return sig.join(by_text, "text_hash", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "n_words")
