@@ -8,6 +8,8 @@ than the bound is a slice of its own and is still processed whole.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+HASH_BYTES = 1 << 18
 
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -74,6 +77,14 @@ def text_slices(batches, text: str = "text", max_bytes: int = SLICE_BYTES, lower
                 part, cut = string_buffers(low)
             yield TextSlice(batch, lo, hi, part, cut)
             lo = hi
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on and others share the executor's limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -94,15 +105,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every byte span; equal bytes give equal hashes."""
-    n = len(data)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    pw, inv = _powers(n + 1)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pw[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * inv[starts]
-    return mix64(h ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
+    """64-bit hash of every byte span (starts ascending); equal bytes give equal hashes.
+
+    Spans are hashed in blocks of ``HASH_BYTES``, so scratch memory follows the block, not the slice.
+    """
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + HASH_BYTES)))
+        lo, hi = int(starts[i]), int(ends[i:j].max())
+        total = np.zeros(hi - lo + 1, np.uint64)
+        pw, inv = _powers(hi - lo + 1)
+        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * pw[:-1], out=total[1:])
+        out[i:j] = (total[ends[i:j] - lo] - total[starts[i:j] - lo]) * inv[starts[i:j] - lo]
+        i = j
+    return mix64(out ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
 
 
 def byte_table(chars: bytes = b"", high: bool = True) -> np.ndarray:

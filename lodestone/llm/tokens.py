@@ -49,7 +49,7 @@ def _classes(limit: int = 0x3000) -> np.ndarray:
 class PieceEncoder:
     """Encodes slices of texts; one per Python worker."""
 
-    def __init__(self, path: str | None = None, max_pieces: int = 400_000):
+    def __init__(self, path: str | None = None, max_pieces: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
