@@ -40,16 +40,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class, the one with the smallest doc_id."""
+    """Keeps one document of each class, the one with the smallest doc_id.
+
+    Rows with equal doc_id and text are one document; rows without a doc_id stay.
+    """
     classes = order_minhash.near_duplicates(docs)
     gone = materialize(classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "pipeline-gone")
     few = gone.count() <= order_minhash.BROADCAST_IDS
     kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("doc_id")
+    again = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return kept
-    repeated = kept.join(again, "doc_id", "left_semi").where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(repeated.select(*docs.columns)).unionByName(kept.where("doc_id is null").join(again.where("doc_id is null").limit(1).select(F.lit(1).alias("one"))).drop("one"))
+    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(repeated.select(*docs.columns)).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -347,3 +347,12 @@ def test_pipeline_stages(spark):
     pieces = pipeline.pack(spark, docs, SF).toPandas()
     assert pieces.groupby("sequence_id").length.sum().max() <= 1024
     assert set(pieces.doc_id) == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_near_duplicates_keeps_every_other_row(spark, edge):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = edge.unionByName(edge.where("doc_id is null"))
+    got = pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    # 4 and 5 are one class, 4 is there twice; 1 and 3 are empty texts, equal once null counts as empty
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in got.collect()) == [(False, 0), (False, 0), (True, 1), (True, 2), (True, 4), (True, 6)]
