@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from lodestone.plans import deltas, graphs, storage, streams, telemetry, texts, vectors  # noqa: E402, F401
+from lodestone.plans import deltas, graphs, storage, streams, telemetry, texts, tools, vectors  # noqa: E402, F401
