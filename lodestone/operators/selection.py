@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.vector import as_double, cosine
+from lodestone.session import materialize
+
 
 def prefix_stop(rows: DataFrame, group: list[str], order: list, size: str, budget: float) -> DataFrame:
     """Rows of every group, in order, until the first that does not fit."""
@@ -40,50 +41,62 @@ class Preset:
 PRESETS = {"balanced": Preset(), "high-relevance": Preset(0.9), "high-diversity": Preset(0.3), "memory-conservative": Preset(0.7, 50_000, 0.3), "enterprise": Preset(0.6, 200_000, 0.1)}
 
 
-def _greedy(vec: np.ndarray, rel: np.ndarray, size: np.ndarray, critical: np.ndarray, k: int, p: Preset) -> list[tuple[int, float]]:
-    norm = np.linalg.norm(vec, axis=1)
-    unit = vec / np.where(norm > 0, norm, 1)[:, None]
-    first = np.flatnonzero(critical)
+def _take_critical(rows: DataFrame, p: Preset) -> DataFrame:
+    """Critical rows (query_id, id, embedding, tokens) that are taken: all if they fit together, else in order of id each that still fits."""
     room = p.budget * (1 - p.cushion)
-    out, used = [], 0.0
-    for i in first:
-        if used + size[i] <= 0.8 * p.budget or size[first].sum() <= room:
-            out.append((int(i), 1.0))
-            used += size[i]
-    left = ~critical
-    low, high = np.full(len(vec), np.inf), np.full(len(vec), -np.inf)
-    for i, _ in out:
-        s = unit @ unit[i]
-        low, high = np.minimum(low, s), np.maximum(high, s)
-    while left.any() and len(out) < k:
-        near = low if p.diversity == "reference" else high
-        div = 1 - np.clip(near, 0, 1) if out else np.ones(len(vec))
-        score = np.where(left & (used + size <= room), p.lam * rel + (1 - p.lam) * div, -np.inf)
-        i = int(score.argmax())
-        if score[i] == -np.inf:
-            break
-        out.append((i, float(score[i])))
-        used += size[i]
-        left[i] = False
-        s = unit @ unit[i]
-        low, high = np.minimum(low, s), np.maximum(high, s)
-    return out
+    total = Window.partitionBy("query_id")
+    rows = rows.withColumn("fits", F.sum("tokens").over(total) <= room).withColumn("used", F.lit(0.0))
+    taken = rows.where("fits").drop("fits", "used")
+    left = rows.where("not fits").drop("fits")
+    so_far = Window.partitionBy("query_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        # what does not fit now never will; of the rest the longest run that fits is taken
+        left = left.where(F.col("used") + F.col("tokens") <= 0.8 * p.budget).withColumn("after", F.col("used") + F.sum("tokens").over(so_far))
+        left = materialize(left.withColumn("now", F.col("after") <= 0.8 * p.budget), "mmr-critical")
+        if left.isEmpty():
+            return taken
+        taken = taken.unionByName(left.where("now").drop("now", "after", "used"))
+        left = left.withColumn("used", F.max(F.when(F.col("now"), F.col("after"))).over(total)).where("not now").drop("now", "after")
 
 
 def mmr_select(candidates: DataFrame, k: int, preset: Preset = PRESETS["balanced"]) -> DataFrame:
-    """Greedy selection per query over bounded candidates (query_id, id, embedding, relevance, tokens, critical): query_id, position, id, score."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        picked = _greedy(np.stack(pdf["embedding"].to_numpy()).astype(float), pdf["relevance"].to_numpy(float), pdf["tokens"].to_numpy(float), pdf["critical"].to_numpy(bool), k, preset)
-        return pd.DataFrame({"query_id": [pdf["query_id"].iloc[0]] * len(picked), "position": range(1, len(picked) + 1), "id": [pdf["id"].iloc[i] for i, _ in picked], "score": [round(s, 6) for _, s in picked]})
-
-    return candidates.select("query_id", "id", "embedding", "relevance", "tokens", "critical").groupBy("query_id").applyInPandas(run, "query_id long, position int, id long, score double")
+    """Greedy selection per query over all candidates (query_id, id, embedding, relevance, tokens, critical): query_id, position, id, score.
+
+    Critical rows come first, in order of id, and are not limited by ``k``. Every
+    further place is one argmax pass over the candidates; ties go to the smaller id.
+    """
+    p, room = preset, preset.budget * (1 - preset.cushion)
+    c = candidates.select("query_id", "id", as_double("embedding").alias("embedding"), F.col("relevance").cast("double").alias("relevance"), F.col("tokens").cast("double").alias("tokens"), "critical")
+    c = materialize(c, "mmr-candidates")
+    first = materialize(_take_critical(c.where("critical").select("query_id", "id", "embedding", "tokens"), p), "mmr-first")
+    end, best = (F.array_min, F.least) if p.diversity == "reference" else (F.array_max, F.greatest)
+    nearest = lambda vectors: end(F.transform(vectors, lambda v: cosine("embedding", v)))
+    sums = first.groupBy("query_id").agg(F.sum("tokens").alias("used"), F.count("*").alias("n"), F.collect_list("embedding").alias("first"))
+    rest = c.where("not critical").join(sums.select("query_id", "first"), "query_id", "left").withColumn("near", nearest(F.col("first"))).drop("first", "critical")
+    rest = materialize(rest, "mmr-rest")
+    state = c.select("query_id").distinct().join(sums.drop("first"), "query_id", "left")
+    empty = F.array().cast("array<struct<id:bigint,score:double,embedding:array<double>>>")
+    state = materialize(state.select("query_id", F.coalesce("used", F.lit(0.0)).alias("used"), F.coalesce("n", F.lit(0)).alias("n"), empty.alias("picked")), "mmr-state")
+    for _ in range(k):
+        open_ = rest.join(state.where(F.col("n") < k), "query_id").where((F.col("used") + F.col("tokens") <= room) & ~F.array_contains("picked.id", F.col("id")))
+        near = best("near", nearest(F.col("picked.embedding")))  # skips nulls
+        diverse = F.when(near.isNull(), 1.0).otherwise(1 - F.least(F.greatest(near, F.lit(0.0)), F.lit(1.0)))
+        scored = open_.withColumn("score", p.lam * F.col("relevance") + (1 - p.lam) * diverse)
+        top = scored.groupBy("query_id").agg(F.max_by(F.struct(F.col("id").cast("long").alias("id"), "score", "embedding"), F.struct("score", -F.col("id"))).alias("top"), F.max_by("tokens", F.struct("score", -F.col("id"))).alias("size"))
+        top = materialize(top, "mmr-top")
+        if top.isEmpty():
+            break
+        more = F.col("top").isNotNull()
+        state = state.join(top, "query_id", "left").select("query_id", (F.col("used") + F.coalesce("size", F.lit(0.0))).alias("used"), (F.col("n") + more.cast("long")).alias("n"), F.when(more, F.concat("picked", F.array("top"))).otherwise(F.col("picked")).alias("picked"))
+        state = materialize(state, "mmr-state")
+    one = first.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("id")).alias("position"), F.col("id").cast("long").alias("id"), F.lit(1.0).alias("score"))
+    done = first.groupBy("query_id").agg(F.count("*").alias("done"))
+    two = state.join(done, "query_id", "left").select("query_id", F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("picked").alias("at", "x"))
+    two = two.select("query_id", (F.col("done") + F.col("at") + 1).cast("int").alias("position"), F.col("x.id").alias("id"), F.round("x.score", 6).alias("score"))
+    return one.unionByName(two)
 
 
 def diversity(vectors: DataFrame, id_col: str, vec: str) -> DataFrame:
     """1 - mean pairwise cosine of a bounded selection."""
-    from lodestone.functions.vector import cosine
-
     a, b = vectors.select(F.col(id_col).alias("a"), F.col(vec).alias("x")), vectors.select(F.col(id_col).alias("b"), F.col(vec).alias("y"))
     return a.join(b, F.col("a") < F.col("b")).agg((1 - F.avg(cosine("x", "y"))).alias("diversity"))

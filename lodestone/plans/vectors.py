@@ -75,8 +75,7 @@ def mmr_selection(spark, sf_dir):
     """MMR-1 to MMR-5: critical rows first, then greedy selection under a token budget; one group per label."""
     v, d = load(spark, sf_dir, "embeddings"), load(spark, sf_dir, "documents")
     c = v.join(d, F.col("vec_id") == F.col("doc_id")).select(F.col("label").cast("long").alias("query_id"), F.col("vec_id").alias("id"), "embedding", (1 / (1 + F.col("vec_id") % 17)).alias("relevance"), F.ceil(F.length("text") / 4).alias("tokens"), (F.col("vec_id") % 50 == 0).alias("critical"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("critical"), F.desc("relevance"), "id")
-    return mmr_select(c.withColumn("r", F.row_number().over(best)).where("r <= 1000"), 10)
+    return mmr_select(c, 10)
 
 
 @query("WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '')) AS t FROM documents WHERE doc_id < 40) SELECT a.doc_id AS a, b.doc_id AS b, round(coalesce(len(list_intersect(a.t, b.t)) / nullif(len(list_distinct(list_concat(a.t, b.t))), 0), 0), 6) AS score FROM w a, w b WHERE a.doc_id < b.doc_id ORDER BY score DESC, a, b LIMIT 20")
