@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.vector import as_double, cosine
+from lodestone.functions.scores import jaccard
+from lodestone.functions.vector import as_double, cosine, norm
 from lodestone.session import materialize
 
 
@@ -100,3 +101,45 @@ def diversity(vectors: DataFrame, id_col: str, vec: str) -> DataFrame:
     """1 - mean pairwise cosine of a bounded selection."""
     a, b = vectors.select(F.col(id_col).alias("a"), F.col(vec).alias("x")), vectors.select(F.col(id_col).alias("b"), F.col(vec).alias("y"))
     return a.join(b, F.col("a") < F.col("b")).agg((1 - F.avg(cosine("x", "y"))).alias("diversity"))
+
+
+def diversity_all(vectors: DataFrame, id_col: str, vec: str) -> DataFrame:
+    """1 - mean cosine of all pairs with different ids, from sums of unit vectors: no pair is formed."""
+    n = norm(F.col("v"))
+    v = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), as_double(vec).alias("v")).withColumn("n", n)
+    unit = v.where("n > 0").select("id", F.size("v").alias("dim"), F.posexplode(F.transform("v", lambda x: x / F.col("n"))).alias("pos", "x"))
+    own = unit.groupBy("dim", "pos", "id").agg(F.sum("x").alias("x"))
+    both = own.groupBy("dim", "pos").agg(F.sum("x").alias("all"), F.sum(F.col("x") * F.col("x")).alias("own"))
+    total = both.agg((F.sum(F.col("all") * F.col("all") - F.col("own")) / 2).alias("total"))
+    count = v.groupBy("id").count().agg(((F.sum("count").cast("double") * F.sum("count") - F.sum(F.col("count").cast("double") * F.col("count"))) / 2).alias("pairs"))
+    return total.crossJoin(count).select((1 - F.try_divide(F.coalesce("total", F.lit(0.0)), "pairs")).alias("diversity"))
+
+
+def top_jaccard(sets: DataFrame, id_col: str, tokens: str, k: int) -> DataFrame:
+    """The ``k`` pairs a < b of highest Jaccard score (six digits; then by a, b) among all rows: a, b, score.
+
+    Inverted-index join over prefixes: with tokens in order of rarity, sets whose
+    score is ``t`` or more share one of the first size - ceil(t * size) + 1. The
+    threshold falls until ``k`` pairs reach it; at 0 every pair is looked at.
+    """
+    own = materialize(sets.where(F.col(id_col).isNotNull()).select(F.xxhash64(F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("id"), F.coalesce(tokens, F.array().cast("array<string>")).alias("t")), "jaccard-sets")
+    often = own.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    ranked = own.select("row", F.explode("t").alias("token")).join(often, "token").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
+    ranked = materialize(ranked.select("row", F.col("t.token").alias("t"), F.size("t").alias("size")), "jaccard-ranked")
+    x = own.select(F.col("row").alias("ra"), F.col("id").alias("a"), F.col("t").alias("x"))
+    y = own.select(F.col("row").alias("rb"), F.col("id").alias("b"), F.col("t").alias("y"))
+    found = None
+    for t in (0.9, 0.6, 0.3, 0.0):
+        if t:
+            length = F.col("size") - F.ceil(F.lit(t - 1e-6) * F.col("size")).cast("int") + 1
+            head = ranked.select("row", "size", F.explode(F.slice("t", 1, length)).alias("token"))
+            one, two = (head.select(F.col("row").alias(r), F.col("size").alias(n), "token") for r, n in (("ra", "na"), ("rb", "nb")))
+            pairs = one.join(two, "token").where((F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= (t - 1e-6) * F.greatest("na", "nb"))).select("ra", "rb").distinct()
+            both = pairs.join(x, "ra").join(y, "rb").where("a < b")
+        else:
+            both = x.join(y, F.col("a") < F.col("b"))
+        score = both.select("a", "b", F.round(jaccard(F.col("x"), F.col("y")), 6).alias("score")).where(F.col("score") >= t)
+        found = materialize(score.orderBy(F.desc("score"), "a", "b").limit(k), "jaccard-top")
+        if found.count() >= k:
+            break
+    return found

@@ -145,3 +145,35 @@ def range_join_lines(spark, sf_dir):
     l, o, c = (load(spark, sf_dir, x) for x in ("lineitem", "orders", "customer"))
     j = l.join(o.where("o_orderkey % 10 = 0"), (l["l_orderkey"] == o["o_orderkey"]) & (l["l_shipdate"] >= o["o_orderdate"]) & (l["l_shipdate"] <= o["o_orderdate"] + F.expr("INTERVAL 30 DAYS")))
     return j.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("o_orderkey").agg(F.min("c_mktsegment").alias("span"), F.count("*").alias("n"))
+
+
+@query("WITH c AS (SELECT l_partkey AS file, l_orderkey AS commit, l_shipdate AS ts FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ts DESC, commit DESC) AS n FROM (SELECT DISTINCT file, commit, ts FROM c)) SELECT r.file, o.file AS other, count(DISTINCT r.commit) AS shared FROM r JOIN (SELECT DISTINCT file, commit FROM c) o ON r.commit = o.commit AND r.file <> o.file WHERE r.n <= 10 GROUP BY r.file, o.file")
+def co_change_pairs_all(spark, sf_dir):
+    """JOIN-5, WIN-1 over all parts and orders."""
+    return graph.co_changes(load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("file"), F.col("l_orderkey").alias("commit"), F.col("l_shipdate").alias("ts")))
+
+
+_TREE_ALL = "t AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"
+
+
+@query(f"WITH RECURSIVE {_TREE_ALL}, w(root, node, depth) AS (SELECT src, dst, 1 FROM t WHERE src LIKE 'r%' UNION ALL SELECT w.root, t.dst, w.depth + 1 FROM w JOIN t ON t.src = w.node WHERE w.depth < 4) SELECT root, depth, count(DISTINCT node) AS nodes FROM w GROUP BY ALL")
+def transitive_deps_all(spark, sf_dir):
+    """GRAPH-5 over all customers and orders; one join a level, since Spark's recursion stops at a number of rows."""
+    n, c, o = (load(spark, sf_dir, x) for x in ("nation", "customer", "orders"))
+    edge = lambda t, p, a, q, b: t.select(F.concat(F.lit(p), F.col(a).cast("string")).alias("src"), F.concat(F.lit(q), F.col(b).cast("string")).alias("dst"))
+    edges = edge(n, "r", "n_regionkey", "n", "n_nationkey").unionByName(edge(c, "n", "c_nationkey", "c", "c_custkey")).unionByName(edge(o, "c", "o_custkey", "o", "o_orderkey"))
+    level = edges.where("src like 'r%'").select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct()
+    levels = [level.withColumn("depth", F.lit(1))]
+    for depth in range(2, 5):
+        level = level.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        levels.append(level.withColumn("depth", F.lit(depth)))
+    every = levels[0].unionByName(levels[1]).unionByName(levels[2]).unionByName(levels[3])
+    return every.groupBy("root", "depth").agg(F.count("*").alias("nodes"))
+
+
+@query("SELECT o.o_orderkey, min(c.c_mktsegment) AS span, count(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey AND l.l_shipdate BETWEEN o.o_orderdate AND o.o_orderdate + INTERVAL 30 DAY JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY o.o_orderkey")
+def range_join_lines_all(spark, sf_dir):
+    """JOIN-20, JOIN-26 over all orders."""
+    l, o, c = (load(spark, sf_dir, x) for x in ("lineitem", "orders", "customer"))
+    j = l.join(o, (l["l_orderkey"] == o["o_orderkey"]) & (l["l_shipdate"] >= o["o_orderdate"]) & (l["l_shipdate"] <= o["o_orderdate"] + F.expr("INTERVAL 30 DAYS")))
+    return j.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("o_orderkey").agg(F.min("c_mktsegment").alias("span"), F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.scores import jaccard
 from lodestone.functions.text import words
 from lodestone.functions.vector import as_double, cosine, is_finite, norm
-from lodestone.operators.selection import diversity, mmr_select
+from lodestone.operators.selection import diversity, diversity_all, mmr_select, top_jaccard
 from lodestone.plans.registry import query
 from lodestone.session import load
 
@@ -84,3 +84,16 @@ def jaccard_pairs(spark, sf_dir):
     w = load(spark, sf_dir, "documents").where("doc_id < 40").select("doc_id", F.array_distinct(words(F.col("text"))).alias("t"))
     a, b = w.select(F.col("doc_id").alias("a"), F.col("t").alias("x")), w.select(F.col("doc_id").alias("b"), F.col("t").alias("y"))
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(jaccard(F.col("x"), F.col("y")), 6).alias("score")).orderBy(F.desc("score"), "a", "b").limit(20)
+
+
+@query()
+def pairwise_diversity_all(spark, sf_dir):
+    """JOIN-27, AGG-30 over all vectors, without forming pairs."""
+    return diversity_all(load(spark, sf_dir, "embeddings"), "vec_id", "embedding").select(F.round("diversity", 6).alias("diversity"))
+
+
+@query()
+def jaccard_pairs_all(spark, sf_dir):
+    """MATH-2, SET-4 over all documents: the twenty most similar pairs."""
+    w = load(spark, sf_dir, "documents").select("doc_id", F.array_distinct(words(F.col("text"))).alias("t"))
+    return top_jaccard(w, "doc_id", "t", 20).select("a", "b", "score").orderBy(F.desc("score"), "a", "b")
