@@ -6,19 +6,21 @@ often as it occurs. Each of ``SKETCHES`` sketches takes the ``L`` k-mers of
 smallest hash and keeps them in text order; two documents share a sketch with
 a probability that follows their edit similarity, not only their set overlap.
 
-Candidates are documents that share a sketch. Two of them are linked if the
+Candidates are documents that share a sketch. Pairs below ``SHORT`` words
+can differ in one word at most; they are candidates if their words are equal
+once one word is left out on either side, which loses none. Two candidates are linked if the
 edit similarity of their words (1 - edit distance / longer length) is at
 least ``SIMILARITY``; the distance is computed by dynamic programming in a
 diagonal band that doubles until the result is certain.
 
-Scale. Equal texts are one class before sketching. A shared sketch is a
-bucket; every member is first aligned with the bucket's smallest document
+Scale. Equal texts are one class before sketching. A shared sketch, or a
+short text without one word, is a bucket; every member is first aligned with the bucket's smallest document
 (a star, not all pairs). Only buckets whose members then lie in different
 components are looked at again: members outside the largest component are
 compared with all members, in blocks, by two lower bounds of the distance
 (lengths and word histograms) that lose no link; what passes is aligned, best
 first, unless earlier links have joined its components. So
-no pair that shares a sketch and is similar enough stays unconnected, and a
+no pair that shares a bucket and is similar enough stays unconnected, and a
 bucket of any size is split into blocks of bounded size.
 
 Defined results: null text is empty; empty texts (no words) form classes by
@@ -39,7 +41,8 @@ from lodestone.llm.components import components
 from lodestone.llm.textbuf import ALNUM, TextSlice, mix64, runs, span_hashes, text_slices
 from lodestone.session import load, materialize
 
-K, L, SKETCHES, SIMILARITY = 5, 2, 24, 0.8
+K, L, SKETCHES, SIMILARITY = 2, 2, 24, 0.8
+SHORT = 10  # pairs of fewer words are found exactly
 HISTOGRAM = 256
 BLOCK = 256
 BROADCAST_IDS = 1_000_000
@@ -103,7 +106,27 @@ def sketch(h: np.ndarray, at: np.ndarray, sketches: int = SKETCHES, depth: int =
     return out
 
 
-_SIG = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.binary()), ("n_words", pa.int32()), ("sketch", pa.list_(pa.int64()))])
+def short_keys(words: np.ndarray, row_at: np.ndarray) -> list[np.ndarray]:
+    """Per row of 4 to ``SHORT - 1`` words: hashes of all words and of all but each one; else nothing."""
+    out = [np.zeros(0, np.int64)] * (len(row_at) - 1)
+    for n in range(4, SHORT):
+        rows = np.flatnonzero(np.diff(row_at) == n)
+        if not len(rows):
+            continue
+        mine = words[row_at[rows][:, None] + np.arange(n)]
+        keys = []
+        for skip in range(-1, n if n > 4 else 0):
+            h = np.full(len(rows), 0x5851F42D4C957F2D, np.uint64)
+            for j in range(n):
+                if j != skip:
+                    h = mix64(h * np.uint64(0x100000001B3) + mine[:, j])
+            keys.append(h)
+        for row, h in zip(rows, np.stack(keys, 1).view(np.int64), strict=True):
+            out[row] = np.unique(h)
+    return out
+
+
+_SIG = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.binary()), ("n_words", pa.int32()), ("sketch", pa.list_(pa.int64())), ("short", pa.list_(pa.int64()))])
 
 
 def _signatures(batches):
@@ -113,7 +136,8 @@ def _signatures(batches):
         words, row_at = word_hashes(s)
         sk = sketch(*kmers(words, row_at)).view(np.int64)
         values = pa.ListArray.from_arrays(pa.array(np.arange(s.n + 1, dtype=np.int32) * SKETCHES), pa.array(sk.ravel()))
-        yield pa.record_batch([s.column("doc_id"), pa.array(digests, pa.binary()), pa.array(np.diff(row_at).astype(np.int32)), values], schema=_SIG)
+        short = pa.array(short_keys(words, row_at), pa.list_(pa.int64()))
+        yield pa.record_batch([s.column("doc_id"), pa.array(digests, pa.binary()), pa.array(np.diff(row_at).astype(np.int32)), values, short], schema=_SIG)
 
 
 def _original(s: TextSlice) -> tuple[memoryview, list[int]]:
@@ -255,7 +279,7 @@ def _second_look(similarity: float):
 
     Every pair of the block ends in one component, is ruled out by a lower
     bound, or is aligned; a pair with several shared sketches is left to the
-    bucket of the first. At most one link is written for each joined component.
+    bucket of the first. In a bucket of short texts, those with a shared sketch are left out. At most one link is written for each joined component.
     """
 
     def run(pdf):
@@ -266,14 +290,15 @@ def _second_look(similarity: float):
         words = [np.frombuffer(x, np.uint32) for x in pdf["words"]]
         hist = np.stack([np.minimum(np.bincount(w % HISTOGRAM, minlength=HISTOGRAM), 255) for w in words]).astype(np.int16)
         sk, bucket = np.array(pdf["sketch"].tolist()), pdf["bucket"].iloc[0]
-        here = int(np.flatnonzero((sk == bucket).all(0))[0])
+        here = np.flatnonzero((sk == bucket).all(0))  # none if the bucket is one of short texts
         _, root = np.unique(comp, return_inverse=True)
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         queue: dict[int, np.ndarray] = {}
         for i in a:
             limit = _limits(size[b], size[i], similarity)
             c = b[(root[b] != root[i]) & (np.abs(size[b] - size[i]) <= limit)]
-            c = c[(sk[c] == sk[i]).argmax(1) == here]  # a pair is the business of its first shared sketch
+            same = sk[c] == sk[i]
+            c = c[same.argmax(1) == here[0] if len(here) else ~same.any(1)]  # a pair is the business of its first shared sketch
             if len(c):
                 bound = np.abs(hist[c] - hist[i]).sum(1) / 2
                 ok = bound <= _limits(size[c], size[i], similarity)
@@ -305,11 +330,11 @@ def _second_look(similarity: float):
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), n_words."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = materialize(own.mapInArrow(_signatures, "doc_id long, text_hash binary, n_words int, sketch array<long>"), "omh-signatures")
+    sig = materialize(own.mapInArrow(_signatures, "doc_id long, text_hash binary, n_words int, sketch array<long>, short array<long>"), "omh-signatures")
     # equal texts first: one representative each
-    reps = sig.where(F.col("doc_id").isNotNull()).groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"))
+    reps = sig.where(F.col("doc_id").isNotNull()).groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
     reps = materialize(reps, "omh-representatives")
-    entries = reps.where(F.col("n_words") > 0).select("rep", "n_words", F.explode("sketch").alias("bucket"))
+    entries = reps.where(F.col("n_words") > 0).select("rep", "n_words", F.explode(F.concat("sketch", "short")).alias("bucket"))
     heads = entries.groupBy("bucket").agg(F.min(F.struct("rep", "n_words")).alias("head"), F.count("*").alias("size")).where(F.col("size") > 1)
     members = materialize(entries.join(heads, "bucket").select("bucket", "rep", "n_words", "head", "size"), "omh-buckets")
     close = F.greatest("n_words", "head.n_words") - F.least("n_words", "head.n_words") <= F.floor(F.lit(1 - similarity) * F.greatest("n_words", "head.n_words") + F.lit(1e-9))
