@@ -1,7 +1,8 @@
 """License detection by ordered signature rules.
 
-A few hundred regular expressions over the words of a text, generated from
-families of names, versions and phrasings. Each rule has required keywords; a
+Regular expressions over the words of a text: hand-written signatures of
+notices, headers, clauses and short names, and several hundred patterns
+generated from families of names, versions and phrasings. Each rule has required keywords; a
 text is scanned by a rule only if it holds one of them. Matches compete:
 higher priority first, then longer, then earlier; a match inside the interval
 of one that stands is suppressed.
@@ -100,6 +101,73 @@ _PHRASINGS = [("{n}", 1, 0.7), ("under [the] {n}", 2, 0.85), ("licensed under [t
 _CC = [("by", "attribution"), ("by-sa", "attribution (sharealike|share alike)"), ("by-nd", "attribution (noderivatives|noderivs|no derivatives)"), ("by-nc", "attribution (noncommercial|non commercial)"), ("by-nc-sa", "attribution (noncommercial|non commercial) (sharealike|share alike)"), ("by-nc-nd", "attribution (noncommercial|non commercial) (noderivatives|noderivs|no derivatives)")]
 _SPDX = ["mit", "isc", "0bsd", "gpl 2 0 only", "gpl 2 0 or later", "gpl 3 0 only", "gpl 3 0 or later", "lgpl 2 1 only", "lgpl 2 1 or later", "lgpl 3 0 only", "agpl 3 0 only", "agpl 3 0 or later", "apache 2 0", "mpl 2 0", "bsd 2 clause", "bsd 3 clause", "cc by 4 0", "cc by sa 4 0", "cc0 1 0", "epl 2 0", "unlicense", "zlib"]
 
+#: Notices, headers, clauses and short names as they stand in the licenses and beside code: label, words, keyword, priority, score.
+_SIGNATURES = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission", 8, 1.0),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies", "copyright", 6, 0.8),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy", "permission", 8, 1.0),
+    ("isc", "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted", "permission", 8, 1.0),
+    ("mit", "x11 license", "x11", 4, 0.8),
+    ("mit", "expat license", "expat", 4, 0.8),
+    ("mit", "mit (licence|licensed)", "mit", 3, 0.7),
+    ("bsd", "redistribution and use in source and binary forms", "redistribution", 7, 1.0),
+    ("bsd", "redistributions of source code must retain the above copyright notice", "redistributions", 6, 0.9),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", "redistributions", 6, 0.9),
+    ("bsd-3", "neither the name of", "neither", 2, 0.4),
+    ("bsd-3", "be used to endorse or promote products derived from this software", "endorse", 7, 0.9),
+    ("bsd-4", "all advertising materials mentioning features or use of this software", "advertising", 8, 1.0),
+    ("bsd", "bsd (style license|license|licence|licensed)", "bsd", 3, 0.7),
+    ("bsd-2", "(2|two) clause bsd [license]", "clause", 5, 0.9),
+    ("bsd-3", "(3|three) clause bsd [license]", "clause", 5, 0.9),
+    ("bsd-4", "(4|four) clause bsd [license]", "clause", 5, 0.9),
+    ("bsd-2", "bsd 2 clause", "bsd", 5, 0.9),
+    ("bsd-3", "bsd 3 clause", "bsd", 5, 0.9),
+    ("bsd-4", "bsd 4 clause", "bsd", 5, 0.9),
+    ("as-is", "provided as is without warranty", "warranty", 3, 0.5),
+    ("as-is", "provided as is without any (warranty|warranties)", "provided", 3, 0.5),
+    ("as-is", "provided by the (copyright holders|author|authors|regents) and contributors as is", "contributors", 3, 0.5),
+    ("zlib", "this software is provided as is without any express or implied warranty", "implied", 6, 0.9),
+    ("zlib", "altered source versions must be plainly marked as such", "altered", 8, 1.0),
+    ("zlib", "the origin of this software must not be misrepresented", "misrepresented", 8, 1.0),
+    ("apache-2", "apache (2 0|2) [license]", "apache", 5, 0.9),
+    ("apache-2", "(apache2|apachev2) [license]", "apache", 5, 0.9),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "applicable", 8, 0.95),
+    ("apache-2", "you may not use this file except in compliance with the license", "compliance", 7, 0.9),
+    ("apache-2", "licensed to the apache software foundation asf under one or more contributor license agreements", "contributor", 8, 1.0),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "program", 6, 0.95),
+    ("gpl", "you should have received a copy of the gnu general public license", "gnu", 6, 0.9),
+    ("lgpl", "you should have received a copy of the gnu (lesser|library) general public license", "gnu", 6, 0.9),
+    ("agpl", "you should have received a copy of the gnu affero general public license", "affero", 6, 0.9),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license", "library", 6, 0.95),
+    ("gpl", "gpl (license|licence|licensed)", "gpl", 2, 0.7),
+    ("gpl-1", "(gplv1|gpl v1|gpl 1 0|gpl version 1)", "gpl", 5, 0.9),
+    ("gpl-2", "(gplv2|gpl v2|gpl v 2|gpl 2 0|gpl 2|gpl version 2)", "gpl", 5, 0.9),
+    ("gpl-3", "(gplv3|gpl v3|gpl v 3|gpl 3 0|gpl 3|gpl version 3)", "gpl", 5, 0.9),
+    ("lgpl", "lgpl (license|licence|licensed)", "lgpl", 2, 0.7),
+    ("lgpl-2.1", "(lgplv2 1|lgpl v2 1|lgpl v 2 1|lgpl 2 1|lgpl version 2 1)", "lgpl", 6, 0.9),
+    ("lgpl-2", "(lgplv2|lgpl v2|lgpl 2 0|lgpl 2|lgpl version 2)", "lgpl", 5, 0.9),
+    ("lgpl-3", "(lgplv3|lgpl v3|lgpl v 3|lgpl 3 0|lgpl 3|lgpl version 3)", "lgpl", 5, 0.9),
+    ("agpl-3", "(agplv3|agpl v3|agpl 3 0|agpl 3|agpl version 3)", "agpl", 5, 0.9),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "permission", 8, 1.0),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla", 8, 1.0),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", "mozilla", 8, 1.0),
+    ("mpl-2.0", "(mplv2|mpl v2|mpl 2 0|mpl 2|mpl version 2)", "mpl", 5, 0.9),
+    ("mpl-1.1", "mpl 1 1", "mpl", 5, 0.9),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "program", 8, 1.0),
+    ("epl-2.0", "(epl v2|epl 2 0)", "epl", 5, 0.9),
+    ("epl-1.0", "(epl v1|epl 1 0)", "epl", 5, 0.9),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", "distribution", 8, 1.0),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered", 9, 1.0),
+    ("cc0", "no rights reserved", "rights", 3, 0.6),
+    ("cc0", "has waived all copyright and related or neighboring rights", "waived", 8, 1.0),
+    ("cc0", "creative commons (zero|cc0)", "commons", 5, 0.9),
+    ("wtfpl", "you just do what the fuck you want to", "fuck", 8, 1.0),
+    ("ofl", "this font software is licensed under the sil open font license", "font", 8, 1.0),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied", "intent", 8, 1.0),
+    ("psf-2", "psf is making python available to licensee on an as is basis", "psf", 8, 1.0),
+    ("php", "this product includes php software", "php", 7, 0.9),
+]
+
 
 @cache
 def rules() -> tuple[Rule, ...]:
@@ -121,6 +189,7 @@ def rules() -> tuple[Rule, ...]:
             out.append(Rule(tag, f"cc {key}{version}", "cc", 3 + bool(version), 0.9))
             out.append(Rule(tag, f"creative commons {long}{version}", "commons", 4 + bool(version), 1.0))
     out += [Rule(x.replace(" ", "-").replace("-or-later", "+").replace("-only", ""), f"spdx license identifier {x}", "spdx", 9, 1.0) for x in _SPDX]
+    out += [Rule(*x) for x in _SIGNATURES]
     return tuple(sorted(out, key=lambda r: (-r.priority, -len(r.words), r.label)))
 
 
