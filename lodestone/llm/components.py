@@ -20,7 +20,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         around = edges.unionByName(edges.select(v.alias("u"), u.alias("v")))
     else:
         around = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
-    low = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # written first, so that the join can split a hub (adaptive skew join) or broadcast what is small
+    low = materialize(around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-low")
     joined = around.join(low, "u")
     if large:
         out = joined.where(v > u).select(v.alias("u"), F.col("m").alias("v"))

@@ -1,10 +1,14 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-A document is the sequence of its lower-cased words; its k-mers are ``K``
+A document is the sequence of its lower-cased words. Its k-mers are ``K``
 words long and carry their occurrence number, so a repeated k-mer counts as
 often as it occurs. Each of ``SKETCHES`` sketches takes the ``L`` k-mers of
 smallest hash and keeps them in text order; two documents share a sketch with
 a probability that follows their edit similarity, not only their set overlap.
+A text of up to ``BRIEF`` words has few ``K``-mers, so it (also) has
+``BRIEF_SKETCHES`` sketches over ``BRIEF_K``-mers; texts from
+``SIMILARITY * BRIEF`` words on have the sketches over ``K``-mers. Any two
+texts that can be similar enough therefore have one kind in common.
 
 Candidates are documents that share a sketch. Pairs below ``SHORT`` words
 can differ in one word at most; they are candidates if their words are equal
@@ -17,15 +21,19 @@ Scale. Equal texts are one class before sketching. A shared sketch, or a
 short text without one word, is a bucket; every member is first aligned with the bucket's smallest document
 (a star, not all pairs). Only buckets whose members then lie in different
 components are looked at again: members outside the largest component are
-compared with all members, in blocks, by two lower bounds of the distance
-(lengths and word histograms) that lose no link; what passes is aligned, best
-first, unless earlier links have joined its components. So
-no pair that shares a bucket and is similar enough stays unconnected, and a
-bucket of any size is split into blocks of bounded size.
+compared with all members whose length lies in the same or a neighbouring
+band (others cannot be similar enough), in blocks of bounded rows and words,
+by two lower bounds of the distance (lengths and word histograms) that lose
+no link; what passes is aligned, best first, unless earlier links have joined
+its components. So no pair that shares a bucket and is similar enough stays
+unconnected, and a bucket of any size is split into blocks of bounded size.
 
 Defined results: null text is empty; empty texts (no words) form classes by
-equal text only; documents with fewer than ``K`` words are one k-mer; rows with
-equal doc_id and text are one document; a null doc_id has class null.
+equal text only; documents with fewer words than a k-mer are one k-mer; rows with
+equal doc_id and text are one document; two texts under one doc_id share its
+class; a null doc_id has class null; ties go to the smaller doc_id; texts of any
+length are taken whole; only the columns doc_id and text are read, so others may
+have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,11 +49,14 @@ from lodestone.llm.components import components
 from lodestone.llm.textbuf import ALNUM, TextSlice, mix64, runs, span_hashes, text_slices
 from lodestone.session import load, materialize
 
-K, L, SKETCHES, SIMILARITY = 2, 2, 24, 0.8
+K, L, SKETCHES, SIMILARITY = 5, 2, 96, 0.8
+BRIEF, BRIEF_K, BRIEF_SKETCHES = 100, 2, 24
 SHORT = 10  # pairs of fewer words are found exactly
 HISTOGRAM = 256
-BLOCK = 256
+BLOCK, BLOCK_WORDS = 256, 1 << 20
+CELLS = 1 << 22  # of the arrays that align a group of pairs
 BROADCAST_IDS = 1_000_000
+SKETCH_SLICE = 1 << 20
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -81,31 +92,53 @@ def kmers(words: np.ndarray, row_at: np.ndarray, k: int = K) -> tuple[np.ndarray
 
 
 def sketch(h: np.ndarray, at: np.ndarray, sketches: int = SKETCHES, depth: int = L) -> np.ndarray:
-    """Order MinHash values, rows x sketches; rows without k-mers get 0."""
-    n, full = len(at) - 1, np.flatnonzero(np.diff(at))
+    """Order MinHash values, rows x sketches; rows without k-mers get 0.
+
+    The low bits of a permuted hash are replaced by the place in the row, so one minimum gives value and place.
+    """
+    size = np.diff(at)
+    n, full = len(size), np.flatnonzero(size)
     out = np.zeros((n, sketches), np.uint64)
     if not len(full):
         return out
-    begin, rep = at[full], np.repeat(np.arange(len(full)), np.diff(at)[full])
+    begin = at[full]
+    place = (np.arange(len(h)) - np.repeat(begin, size[full])).astype(np.uint64)
+    low = np.uint64((1 << max(1, int(size.max()).bit_length())) - 1)
+    padded, x = np.append(h, np.uint64(0)), np.empty(len(h), np.uint64)
     for i in range(sketches):
-        x = mix64(h ^ np.uint64(0xD6E8FEB86659FD93 * (i + 1) & int(_MAX)))
-        places = []
+        np.multiply(h, np.uint64(0xD6E8FEB86659FD93 * (2 * i + 1) & int(_MAX)), out=x)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x94D049BB133111EB)
+        x &= ~low
+        x |= place
+        order = np.full((len(full), depth), len(h), np.int64)
         for d in range(depth):
-            low = np.minimum.reduceat(x, begin)
-            hit = np.flatnonzero(x == low[rep])
-            first = hit[np.searchsorted(rep[hit], np.arange(len(full)))]
-            places.append(np.where(low == _MAX, np.iinfo(np.int64).max, first))
+            least = np.minimum.reduceat(x, begin)
+            there = size[full] > d
+            order[there, d] = begin[there] + (least[there] & low).astype(np.int64)
             if d < depth - 1:
-                x[first] = _MAX
-        order = np.sort(np.stack(places, 1), 1)
+                x[order[there, d]] = _MAX
+        order.sort(1)
         value = np.full(len(full), np.uint64(i + 1))
         for d in range(depth):
-            ok = order[:, d] < len(h)
-            value = mix64(value * np.uint64(0x100000001B3) + np.where(ok, h[np.minimum(order[:, d], len(h) - 1)], np.uint64(0)))
+            value = mix64(value * np.uint64(0x100000001B3) + padded[order[:, d]])
         out[full, i] = value
     return out
 
 
+def all_sketches(words: np.ndarray, row_at: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Rows x (``SKETCHES`` + ``BRIEF_SKETCHES``); 0 where a row has no sketch of that kind."""
+    size = np.diff(row_at)
+    out = np.zeros((len(size), SKETCHES + BRIEF_SKETCHES), np.uint64)
+    for rows, k, lo, hi, salt in ((size >= similarity * BRIEF - 1, K, 0, SKETCHES, 0), (size <= BRIEF, BRIEF_K, SKETCHES, SKETCHES + BRIEF_SKETCHES, 0x9E3779B97F4A7C15)):
+        rows = np.flatnonzero(rows & (size > 0))
+        if len(rows):
+            mine = words[np.repeat(row_at[rows] - np.append(0, np.cumsum(size[rows]))[:-1], size[rows]) + np.arange(size[rows].sum())]
+            value = sketch(*kmers(mine, np.append(0, np.cumsum(size[rows])), k), sketches=hi - lo)
+            out[rows, lo:hi] = mix64(value ^ np.uint64(salt)) | np.uint64(1)
+    return out
+
+
 def short_keys(words: np.ndarray, row_at: np.ndarray) -> list[np.ndarray]:
     """Per row of 4 to ``SHORT - 1`` words: hashes of all words and of all but each one; else nothing."""
     out = [np.zeros(0, np.int64)] * (len(row_at) - 1)
@@ -126,18 +159,22 @@ def short_keys(words: np.ndarray, row_at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-_SIG = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.binary()), ("n_words", pa.int32()), ("sketch", pa.list_(pa.int64())), ("short", pa.list_(pa.int64()))])
+_SIG = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.binary()), ("n_words", pa.int32()), ("sketch", pa.list_(pa.int64())), ("short", pa.list_(pa.int64()))])
 
 
 def _signatures(batches):
-    for s in text_slices(batches, lower=True):
+    from pyspark import TaskContext
+
+    row, width = TaskContext.get().partitionId() << 40, SKETCHES + BRIEF_SKETCHES
+    for s in text_slices(batches, lower=True, max_bytes=SKETCH_SLICE):
         raw, raw_offs = _original(s)
         digests = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(raw_offs[:-1], raw_offs[1:], strict=True)]
         words, row_at = word_hashes(s)
-        sk = sketch(*kmers(words, row_at)).view(np.int64)
-        values = pa.ListArray.from_arrays(pa.array(np.arange(s.n + 1, dtype=np.int32) * SKETCHES), pa.array(sk.ravel()))
+        sk = all_sketches(words, row_at).view(np.int64)
+        values = pa.ListArray.from_arrays(pa.array(np.arange(s.n + 1, dtype=np.int32) * width), pa.array(sk.ravel()))
         short = pa.array(short_keys(words, row_at), pa.list_(pa.int64()))
-        yield pa.record_batch([s.column("doc_id"), pa.array(digests, pa.binary()), pa.array(np.diff(row_at).astype(np.int32)), values, short], schema=_SIG)
+        yield pa.record_batch([pa.array(row + np.arange(s.n)), s.column("doc_id"), pa.array(digests, pa.binary()), pa.array(np.diff(row_at).astype(np.int32)), values, short], schema=_SIG)
+        row += s.n
 
 
 def _original(s: TextSlice) -> tuple[memoryview, list[int]]:
@@ -193,8 +230,13 @@ def banded_distance(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarr
         for w in np.unique(bands[todo]):
             mine = todo[bands[todo] == w]
             mine = mine[np.argsort([max(map(len, short[i])) for i in mine], kind="stable")]
-            for at in range(0, len(mine), 256):
-                group = mine[at : at + 256]
+            at = 0
+            while at < len(mine):
+                # shortest first: the group takes as many pairs as fit with the length of its last
+                longest = np.array([max(map(len, short[i])) for i in mine[at : at + 256]]) + 2 * w + 2
+                fit = max(1, int((longest * np.arange(1, len(longest) + 1) <= CELLS).sum()))
+                group = mine[at : at + fit]
+                at += fit
                 got = _band([short[i] for i in group], int(w))
                 sure = (got <= w) | (w >= limits[group]) | (w >= np.array([max(map(len, short[i])) for i in group]))
                 done = group[sure]
@@ -290,14 +332,14 @@ def _second_look(similarity: float):
         words = [np.frombuffer(x, np.uint32) for x in pdf["words"]]
         hist = np.stack([np.minimum(np.bincount(w % HISTOGRAM, minlength=HISTOGRAM), 255) for w in words]).astype(np.int16)
         sk, bucket = np.array(pdf["sketch"].tolist()), pdf["bucket"].iloc[0]
-        here = np.flatnonzero((sk == bucket).all(0))  # none if the bucket is one of short texts
+        here = np.flatnonzero((sk == bucket).any(0))  # none if the bucket is one of short texts
         _, root = np.unique(comp, return_inverse=True)
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         queue: dict[int, np.ndarray] = {}
         for i in a:
             limit = _limits(size[b], size[i], similarity)
             c = b[(root[b] != root[i]) & (np.abs(size[b] - size[i]) <= limit)]
-            same = sk[c] == sk[i]
+            same = (sk[c] == sk[i]) & (sk[i] != 0)
             c = c[same.argmax(1) == here[0] if len(here) else ~same.any(1)]  # a pair is the business of its first shared sketch
             if len(c):
                 bound = np.abs(hist[c] - hist[i]).sum(1) / 2
@@ -327,38 +369,63 @@ def _second_look(similarity: float):
     return run
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast if it was counted to be small; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), n_words."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = materialize(own.mapInArrow(_signatures, "doc_id long, text_hash binary, n_words int, sketch array<long>, short array<long>"), "omh-signatures")
-    # equal texts first: one representative each
-    reps = sig.where(F.col("doc_id").isNotNull()).groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
-    reps = materialize(reps, "omh-representatives")
-    entries = reps.where(F.col("n_words") > 0).select("rep", "n_words", F.explode(F.concat("sketch", "short")).alias("bucket"))
+    sig = materialize(own.mapInArrow(_signatures, "row long, doc_id long, text_hash binary, n_words int, sketch array<long>, short array<long>"), "omh-signatures")
+    # equal texts first: one row stands for each
+    known = sig.where(F.col("doc_id").isNotNull())
+    pick = materialize(known.groupBy("text_hash").agg(F.min(F.struct("doc_id", "row")).alias("s")).select("text_hash", F.col("s.doc_id").alias("rep"), F.col("s.row").alias("first")), "omh-representatives")
+    copies = materialize(known.select("text_hash", "row").join(pick, "text_hash").where("row <> first").select("row"), "omh-copies")
+    reps = known.join(_few(copies), "row", "left_anti").where("n_words > 0").select(F.col("doc_id").alias("rep"), "n_words", "sketch", "short")
+    keys = F.concat(F.array_remove("sketch", F.lit(0).cast("long")), "short")
+    entries = reps.select("rep", "n_words", F.explode(keys).alias("bucket"))
     heads = entries.groupBy("bucket").agg(F.min(F.struct("rep", "n_words")).alias("head"), F.count("*").alias("size")).where(F.col("size") > 1)
-    members = materialize(entries.join(heads, "bucket").select("bucket", "rep", "n_words", "head", "size"), "omh-buckets")
+    heads = materialize(heads.select("bucket", "head"), "omh-heads")
+    members = materialize(entries.join(_few(heads), "bucket").select("bucket", "rep", "n_words", "head"), "omh-buckets")
     close = F.greatest("n_words", "head.n_words") - F.least("n_words", "head.n_words") <= F.floor(F.lit(1 - similarity) * F.greatest("n_words", "head.n_words") + F.lit(1e-9))
-    stars = members.where((F.col("rep") != F.col("head.rep")) & close).select(F.col("head.rep").alias("u"), F.col("rep").alias("v")).distinct()
+    stars = materialize(members.where((F.col("rep") != F.col("head.rep")) & close).select(F.col("head.rep").alias("u"), F.col("rep").alias("v")).distinct(), "omh-stars")
     wanted = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "omh-candidates")
-    texts = own.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
-    words = materialize(texts.mapInArrow(_word_rows, "doc_id long, words binary").dropDuplicates(["doc_id"]), "omh-words")
+    words = materialize(own.join(_few(wanted), "doc_id", "left_semi").mapInArrow(_word_rows, "doc_id long, words binary").dropDuplicates(["doc_id"]), "omh-words")
     links = materialize(verify(stars, words, similarity), "omh-links")
-    # second look: buckets that still hold several components
-    labels = components(links)
-    tagged = materialize(members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n_words", F.coalesce("component", "rep").alias("component")), "omh-tagged")
-    by_comp = tagged.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = by_comp.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where(F.col("kinds") > 1)
-    mixed = mixed.select("bucket", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("cols"))
-    place = tagged.join(mixed, "bucket").join(words.select(F.col("doc_id").alias("rep"), "words"), "rep").join(reps.select("rep", "sketch"), "rep")
-    cols = ["bucket", "rep", "n_words", "component", "words", "sketch"]
-    strays = place.where(F.col("component") != F.col("main")).select(*cols, F.lit(0).alias("side"), F.pmod(F.xxhash64("rep"), F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
-    everyone = place.select(*cols, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("rep"), F.col("cols")).cast("int").alias("j"))
-    second = strays.unionByName(everyone).groupBy("bucket", "i", "j").applyInPandas(_second_look(similarity), "u long, v long")
-    more = materialize(second.distinct(), "omh-links-second")
+    more = materialize(_more_links(members, reps, words, components(links), similarity).distinct(), "omh-links-second")
     final = components(links.unionByName(more))
-    by_text = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("text_hash", F.coalesce("component", "rep").alias("class_id"))
+    by_text = materialize(pick.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("text_hash", F.coalesce("component", "rep").alias("class_id")), "omh-classes")
     return sig.join(by_text, "text_hash", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "n_words")
 
 
+def _more_links(members: DataFrame, reps: DataFrame, words: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Links between the components that still share a bucket.
+
+    A pair is similar enough only if its lengths differ by a factor of ``similarity`` at most, so strays meet their own band of lengths and the two beside it.
+    """
+    tagged = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n_words", F.coalesce("component", "rep").alias("component"))
+    tagged = materialize(tagged, "omh-tagged")
+    by_comp = tagged.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = by_comp.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where(F.col("kinds") > 1)
+    mixed = mixed.select("bucket", F.col("top.component").alias("main"))
+    band = F.floor(F.log(F.col("n_words").cast("double")) / F.lit(-float(np.log(similarity)))).cast("int")
+    place = materialize(tagged.join(mixed, "bucket").withColumn("band", band), "omh-mixed")
+    stray = F.col("component") != F.col("main")
+    dealt = [place.where(stray).select("bucket", "rep", "n_words", "component", F.lit(0).alias("side"), "band")]
+    dealt.append(place.select("bucket", "rep", "n_words", "component", F.lit(1).alias("side"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")))
+    both = dealt[0].unionByName(dealt[1])
+    parts = lambda side: F.greatest(F.ceil(F.count_if(F.col("side") == side) / BLOCK), F.ceil(F.sum(F.when(F.col("side") == side, F.col("n_words")).otherwise(0)) / BLOCK_WORDS)).cast("int")
+    sizes = both.groupBy("bucket", "band").agg(parts(0).alias("rows"), parts(1).alias("cols")).where("rows > 0 and cols > 0")
+    sized = both.join(sizes, ["bucket", "band"])
+    own, across = F.col("side") == 0, F.when(F.col("side") == 0, F.col("cols")).otherwise(F.col("rows"))
+    sized = sized.withColumn("mine", F.pmod(F.xxhash64("rep"), F.when(own, F.col("rows")).otherwise(F.col("cols"))).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), across - 1)))
+    sized = sized.select("bucket", "band", "rep", "n_words", "component", "side", F.when(own, F.col("mine")).otherwise(F.col("other")).alias("i"), F.when(own, F.col("other")).otherwise(F.col("mine")).alias("j"))
+    needed = materialize(place.select("rep").distinct(), "omh-mixed-ids")
+    payload = words.select(F.col("doc_id").alias("rep"), "words").join(_few(needed), "rep", "left_semi").join(reps.join(_few(needed), "rep", "left_semi").select("rep", "sketch"), "rep")
+    full = sized.join(payload, "rep").select("bucket", "band", "i", "j", "side", "rep", "n_words", "component", "words", "sketch")
+    return full.groupBy("bucket", "band", "i", "j").applyInPandas(_second_look(similarity), "u long, v long")
+
+
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
