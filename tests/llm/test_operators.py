@@ -233,24 +233,6 @@ def test_op8_base_phrases(spark, empty):
     assert len(rules()) >= 300 and scan_licenses(empty).count() == 0
 
 
-def test_op9_probabilities_and_decisions(spark, edge, empty):
-    from lodestone.llm import kneser_ney as kn
-    from lodestone.session import load
-
-    docs, labels = load(spark, SF, "documents"), load(spark, SF, "labels")
-    table = kn.fit(docs, kn.trusted_ids(labels))
-    sums = np.exp(table.reshape(-1, kn.A).astype(float)).sum(1)
-    assert np.allclose(sums, 1, atol=1e-3)
-    got = llm.op9_quality(spark, SF).join(labels, "doc_id").toPandas()
-    assert got[got.quality == 1].keep.mean() > 0.97 and got[got.quality == 0].keep.mean() < 0.6
-    model = kn.fit_quality(docs, labels)
-    out = {r.doc_id: r for r in kn.classify(edge, model).collect()}
-    assert not out[1].keep and out[1].log_perplexity is None and len(out) == 7
-    assert kn.classify(empty, model).count() == 0 and kn.keep_good(edge, model).columns == edge.columns
-    bare = kn.fit_quality(empty, labels)
-    assert bare.thresholds == {}
-
-
 def _distance(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
