@@ -18,15 +18,18 @@ least ``SIMILARITY``; the distance is computed by dynamic programming in a
 diagonal band that doubles until the result is certain.
 
 Scale. Equal texts are one class before sketching. A shared sketch, or a
-short text without one word, is a bucket; every member is first aligned with the bucket's smallest document
+short text without one word, is a bucket. Entries are put in ranges of (bucket,
+document), so a large bucket is split over tasks. Every member is first aligned with the bucket's smallest document
 (a star, not all pairs). Only buckets whose members then lie in different
-components are looked at again: members outside the largest component are
-compared with all members whose length lies in the same or a neighbouring
-band (others cannot be similar enough), in blocks of bounded rows and words,
-by two lower bounds of the distance (lengths and word histograms) that lose
-no link; what passes is aligned, best first, unless earlier links have joined
-its components. So no pair that shares a bucket and is similar enough stays
-unconnected, and a bucket of any size is split into blocks of bounded size.
+components are looked at again, by bands of length (documents of other than
+neighbouring bands cannot be similar enough) and in blocks of bounded rows and
+words: first by two lower bounds of the distance (lengths and word histograms)
+that lose no link and need no texts. Each document that has partners left is
+aligned with the few of least bound; in blocks that still hold several
+components all other pairs that pass are aligned, best first, unless earlier
+links have joined their components. So no
+pair that shares a bucket and is similar enough stays unconnected, and a bucket
+of any size is split into blocks of bounded size.
 
 Defined results: null text is empty; empty texts (no words) form classes by
 equal text only; documents with fewer words than a k-mer are one k-mer; rows with
@@ -39,21 +42,26 @@ have any name; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.components import components
+from lodestone.llm.components import components, joined_components, one_round
 from lodestone.llm.textbuf import ALNUM, TextSlice, mix64, runs, span_hashes, text_slices
 from lodestone.session import load, materialize
 
-K, L, SKETCHES, SIMILARITY = 5, 2, 96, 0.8
+K, L, SKETCHES, SIMILARITY = 3, 2, 24, 0.8
 BRIEF, BRIEF_K, BRIEF_SKETCHES = 100, 2, 24
 SHORT = 10  # pairs of fewer words are found exactly
 HISTOGRAM = 256
-BLOCK, BLOCK_WORDS = 256, 1 << 20
+#: Copies of a hub's words; rows and words of a part of a bucket.
+HUB_ROWS, PART_ROWS, PART_WORDS = 256, 1024, 1 << 20
+ALIGN_PAIRS, ALIGN_BYTES = 4096, 32 << 20
+LONG = 512  # words from which runs of words are compared before an alignment
+NEAREST = 4  # partners of least bound that are aligned before the rest
 CELLS = 1 << 22  # of the arrays that align a group of pairs
 BROADCAST_IDS = 1_000_000
 SKETCH_SLICE = 1 << 20
@@ -184,15 +192,35 @@ def _original(s: TextSlice) -> tuple[memoryview, list[int]]:
     return memoryview(np.ascontiguousarray(data)), offs.tolist()
 
 
-_WORDS = pa.schema([("doc_id", pa.int64()), ("words", pa.binary())])
+_WORDS = pa.schema([("doc_id", pa.int64()), ("words", pa.binary()), ("histogram", pa.binary())])
 
 
 def _word_rows(batches):
     for s in text_slices(batches, lower=True):
         words, row_at = word_hashes(s)
         short = (words & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        arrays = [short[a:b].tobytes() for a, b in zip(row_at[:-1].tolist(), row_at[1:].tolist(), strict=True)]
-        yield pa.record_batch([s.column("doc_id"), pa.array(arrays, pa.binary())], schema=_WORDS)
+        rows = [short[a:b] for a, b in zip(row_at[:-1].tolist(), row_at[1:].tolist(), strict=True)]
+        counts = [np.minimum(np.bincount(w % HISTOGRAM, minlength=HISTOGRAM), 255).astype(np.uint8).tobytes() for w in rows]
+        yield pa.record_batch([s.column("doc_id"), pa.array([w.tobytes() for w in rows], pa.binary()), pa.array(counts, pa.binary())], schema=_WORDS)
+
+
+def _shared(batches):
+    """From entries sorted by bucket those whose bucket occurs again in this partition, or lies at its edge."""
+    held, known = None, True  # the last row, and whether it is to be kept; the first row is at the edge
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches(([held] if held is not None else []) + [batch]).combine_chunks().to_batches()[0]
+        bucket = rows.column(0).to_numpy()
+        keep = np.zeros(len(bucket), bool)
+        keep[0] = known
+        again = bucket[1:] == bucket[:-1]
+        keep[1:] |= again
+        keep[:-1] |= again
+        held, known = rows.slice(len(bucket) - 1), bool(keep[-1])
+        yield rows.slice(0, len(bucket) - 1).filter(pa.array(keep[:-1]))
+    if held is not None:
+        yield held
 
 
 def _trim(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,38 +240,65 @@ def bag_bound(a: np.ndarray, b: np.ndarray, bins: int = 1024) -> int:
     return max(-(-int(np.abs(diff).sum()) // 2), abs(len(a) - len(b)))
 
 
-def banded_distance(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray, band: int = 8) -> np.ndarray:
+def _grams(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct three-word runs and how often each occurs."""
+    x = a.astype(np.uint64)
+    return np.unique(mix64(mix64(x[:-2] * np.uint64(0x100000001B3) + x[1:-1]) + x[2:]), return_counts=True)
+
+
+def gram_bound(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """A lower bound of the edit distance: one edit ends at most three of the longer text's runs."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    return -(-(max(a[1].sum(), b[1].sum()) - np.minimum(a[1][i], b[1][j]).sum()) // 3)
+
+
+#: Half widths of bands.
+_BANDS = np.sort(np.append(8 * 2 ** np.arange(40), 96 * 2 ** np.arange(36)))
+
+
+def banded_distance(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray) -> np.ndarray:
     """Edit distance of every pair of id arrays, or a number above its limit.
 
-    Each pair starts with a band just above its lower bound and doubles it until
-    the result is certain; pairs of one band advance in lockstep.
+    A path that leaves the ``w`` diagonals on either side and ends ``d``
+    diagonals away costs at least 2 (w + 1) - d, so a smaller result is certain,
+    and no band wider than (limit + d) / 2 is needed. Each pair starts with a
+    band for 5/4 of its lower bound and widens it until the result is certain;
+    pairs of one band advance in lockstep.
     """
-    out = np.asarray(limits, np.int64) + 1
+    limits = np.asarray(limits, np.int64)
+    out = limits + 1
     short = [_trim(a, b) for a, b in pairs]
     bound = np.array([bag_bound(a, b) for a, b in short], np.int64)
-    bands = np.full(len(pairs), band, np.int64)
-    while (low := bands < bound * 5 // 4 + 2).any():
-        bands[low] *= 2
+    apart = np.array([abs(len(a) - len(b)) for a, b in short], np.int64)
+    longest = np.array([max(len(a), len(b)) for a, b in short], np.int64)
+    at = lambda need: np.searchsorted(_BANDS, np.maximum(need, 1))
+    most = at(np.minimum((limits + apart + 1) // 2, longest))
+    # texts of some length have much the same words whatever they say: compare runs of words before aligning them
+    grams: dict[int, tuple] = {}
+    for i in np.flatnonzero((bound <= limits) & (longest >= LONG) & (np.minimum([len(a) for a, _ in pairs], [len(b) for _, b in pairs]) > 2)):
+        one, two = (grams.get(id(x)) or grams.setdefault(id(x), _grams(x)) for x in pairs[i])
+        bound[i] = max(bound[i], gram_bound(one, two))
+    band = np.minimum(at((bound * 5 // 4 + apart + 1) // 2), most)
     todo = np.flatnonzero(bound <= limits)
     while len(todo):
         again = []
-        for w in np.unique(bands[todo]):
-            mine = todo[bands[todo] == w]
-            mine = mine[np.argsort([max(map(len, short[i])) for i in mine], kind="stable")]
-            at = 0
-            while at < len(mine):
+        for w_at in np.unique(band[todo]):
+            mine, w = todo[band[todo] == w_at], int(_BANDS[w_at])
+            mine = mine[np.argsort(longest[mine], kind="stable")]
+            start = 0
+            while start < len(mine):
                 # shortest first: the group takes as many pairs as fit with the length of its last
-                longest = np.array([max(map(len, short[i])) for i in mine[at : at + 256]]) + 2 * w + 2
-                fit = max(1, int((longest * np.arange(1, len(longest) + 1) <= CELLS).sum()))
-                group = mine[at : at + fit]
-                at += fit
-                got = _band([short[i] for i in group], int(w))
-                sure = (got <= w) | (w >= limits[group]) | (w >= np.array([max(map(len, short[i])) for i in group]))
+                size = longest[mine[start : start + 256]] + 2 * w + 2
+                fit = max(1, int((size * np.arange(1, len(size) + 1) <= CELLS).sum()))
+                group = mine[start : start + fit]
+                start += fit
+                got = _band([short[i] for i in group], w)
+                sure = (got <= 2 * w + 1 - apart[group]) | (band[group] >= most[group])
                 done = group[sure]
                 out[done] = np.where(got[sure] <= limits[done], got[sure], limits[done] + 1)
                 again.append(group[~sure])
         todo = np.concatenate(again)
-        bands[todo] *= 2
+        band[todo] += 1
     return out
 
 
@@ -284,25 +339,37 @@ def _band(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
     return out
 
 
+def _lots(batches) -> Iterator[pa.Table]:
+    """Rows in lots of up to ``ALIGN_PAIRS`` and about ``ALIGN_BYTES``."""
+    held, size, rows = [], 0, 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            held.append(part)
+            size, rows = size + part.nbytes, rows + part.num_rows
+            if size >= ALIGN_BYTES or rows >= ALIGN_PAIRS:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size, rows = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _align(similarity: float):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                u, v = part.column(0).to_numpy(), part.column(1).to_numpy()
-                pairs = [(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) for x, y in zip(part.column(2), part.column(3), strict=True)]
-                longest = np.array([max(len(x), len(y)) for x, y in pairs])
-                limits = np.floor((1 - similarity) * longest + 1e-9).astype(np.int64)
-                ok = banded_distance(pairs, limits) <= limits
-                if ok.any():
-                    yield pa.record_batch([pa.array(u[ok]), pa.array(v[ok])], schema=schema)
+        for lot in _lots(batches):
+            u, v = lot.column("u").to_numpy(), lot.column("v").to_numpy()
+            pairs = [(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(lot.column("a").to_pylist(), lot.column("b").to_pylist(), strict=True)]
+            limits = _limits(np.array([len(x) for x, _ in pairs]), np.array([len(y) for _, y in pairs]), similarity)
+            ok = banded_distance(pairs, limits) <= limits
+            if ok.any():
+                yield pa.record_batch([pa.array(u[ok]), pa.array(v[ok])], schema=schema)
 
     return run
 
 
-def verify(pairs: DataFrame, words: DataFrame, similarity: float, hub_rows: int = BLOCK) -> DataFrame:
+def verify(pairs: DataFrame, words: DataFrame, similarity: float, hub_rows: int = HUB_ROWS) -> DataFrame:
     """The pairs (u, v) whose alignment is similar enough. u may be in any number of pairs; its words are copied per ``hub_rows`` of them."""
     hubs = pairs.groupBy("u").agg(F.ceil(F.count("*") / hub_rows).cast("int").alias("parts"))
     left = words.join(hubs, words["doc_id"] == hubs["u"]).select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.col("words").alias("a"))
@@ -316,36 +383,100 @@ def _limits(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
     return np.floor((1 - similarity) * np.maximum(x, y) + 1e-9).astype(np.int64)
 
 
+_CELL = ["bucket", "band", "i", "j"]
+
+
+def _filter(similarity: float):
+    """The rows of sorted blocks that have a partner of another component which the two bounds do not rule out, with the partner of least bound."""
+
+    def passing(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        i, j, part, up, size, comp = (t.column(c).to_numpy() for c in ("i", "j", "part", "up", "n_words", "component"))
+        hist = np.frombuffer(t.column("histogram").combine_chunks().buffers()[2], np.uint8)
+        first = t.column("histogram").combine_chunks().offset * HISTOGRAM
+        hist = hist[first : first + HISTOGRAM * len(i)].reshape(-1, HISTOGRAM)
+        ends = np.append(starts[1:], len(i))
+        later = np.repeat(ends, ends - starts) - np.arange(len(i)) - 1
+        least, partner, row = np.full(len(i), 1 << 30, np.int64), np.zeros(len(i), np.int64), 0
+        while row < len(i):
+            to = max(row + 1, int(np.searchsorted(np.cumsum(later[row:]), 1 << 19)) + row)
+            n = later[row:to]
+            a = np.repeat(np.arange(row, to), n)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+            limit = _limits(size[a], size[b], similarity)
+            ok = (comp[a] != comp[b]) & ~(up[a] & up[b]) & ((i[a] == j[a]) | (part[a] != part[b])) & (np.abs(size[a] - size[b]) <= limit)
+            a, b, limit = a[ok], b[ok], limit[ok]
+            for at in range(0, len(a), 1 << 13):
+                x, y = a[at : at + (1 << 13)], b[at : at + (1 << 13)]
+                bound = np.abs(hist[x].astype(np.int16) - hist[y]).sum(1)
+                close = bound <= 2 * limit[at : at + (1 << 13)]
+                for own, other in ((x[close], y[close]), (y[close], x[close])):
+                    order = np.lexsort((other, bound[close], own))
+                    own, other, cost = own[order], other[order], bound[close][order]
+                    head = np.append(True, own[1:] != own[:-1])[: len(own)]
+                    better = cost[head] < least[own[head]]
+                    least[own[head][better]], partner[own[head][better]] = cost[head][better], other[head][better]
+            row = to
+        hit = np.flatnonzero(least < 1 << 30)
+        kept = t.drop_columns(["histogram"]).take(pa.array(hit))
+        kept = kept.append_column("partner", pa.array(t.column("rep").to_numpy()[partner[hit]]))
+        return kept.append_column("bound", pa.array(least[hit].astype(np.int32)))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in _CELL])
+            starts = np.append(0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1)
+            done, held = rows.slice(0, starts[-1]), rows.slice(starts[-1])
+            if done.num_rows:
+                yield from passing(done.combine_chunks(), starts[:-1]).to_batches()
+        if held is not None:
+            yield from passing(held.combine_chunks(), np.zeros(1, np.int64)).to_batches()
+
+    return run
+
+
 def _second_look(similarity: float):
-    """Links of a block between side 0 and side 1 across components; a component that is joined is not looked at again.
+    """Links of a block across components; a component that is joined is not looked at again.
 
     Every pair of the block ends in one component, is ruled out by a lower
     bound, or is aligned; a pair with several shared sketches is left to the
-    bucket of the first. In a bucket of short texts, those with a shared sketch are left out. At most one link is written for each joined component.
+    bucket of one of them. In a bucket of short texts, those with a shared sketch are left out. At most one link is written for each joined component.
     """
 
     def run(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values(["side", "rep"])
-        side, rep, comp, size = (pdf[c].to_numpy() for c in ("side", "rep", "component", "n_words"))
+        pdf = pdf.sort_values("rep")
+        part, up, rep, comp, size = (pdf[c].to_numpy() for c in ("part", "up", "rep", "component", "n_words"))
         words = [np.frombuffer(x, np.uint32) for x in pdf["words"]]
-        hist = np.stack([np.minimum(np.bincount(w % HISTOGRAM, minlength=HISTOGRAM), 255) for w in words]).astype(np.int16)
-        sk, bucket = np.array(pdf["sketch"].tolist()), pdf["bucket"].iloc[0]
+        hist = np.stack([np.frombuffer(x, np.uint8) for x in pdf["histogram"]]).astype(np.int16)
+        sk, bucket, whole = np.array(pdf["sketch"].tolist()), pdf["bucket"].iloc[0], pdf["i"].iloc[0] == pdf["j"].iloc[0]
         here = np.flatnonzero((sk == bucket).any(0))  # none if the bucket is one of short texts
         _, root = np.unique(comp, return_inverse=True)
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         queue: dict[int, np.ndarray] = {}
-        for i in a:
-            limit = _limits(size[b], size[i], similarity)
-            c = b[(root[b] != root[i]) & (np.abs(size[b] - size[i]) <= limit)]
+        for i in range(len(rep) - 1):
+            c = np.arange(i + 1, len(rep))
+            limit = _limits(size[c], size[i], similarity)
+            fits = (root[c] != root[i]) & ~(up[c] & up[i]) & (whole | (part[c] != part[i])) & (np.abs(size[c] - size[i]) <= limit)
+            c, limit = c[fits], limit[fits]
+            if not len(c):
+                continue
             same = (sk[c] == sk[i]) & (sk[i] != 0)
-            c = c[same.argmax(1) == here[0] if len(here) else ~same.any(1)]  # a pair is the business of its first shared sketch
-            if len(c):
-                bound = np.abs(hist[c] - hist[i]).sum(1) / 2
-                ok = bound <= _limits(size[c], size[i], similarity)
-                if ok.any():
-                    queue[i] = c[ok][np.argsort(bound[ok], kind="stable")]
+            if len(here):
+                # a pair is the business of one of its shared sketches, by a hash, so that no bucket has most pairs
+                times = same.sum(1)
+                turn = mix64((rep[c] ^ rep[i]).astype(np.uint64)) % np.maximum(times, 1).astype(np.uint64)
+                mine = same[:, here[0]] & (same[:, : here[0]].sum(1) == turn)
+            else:
+                mine = ~same.any(1)
+            bound = np.abs(hist[c] - hist[i]).sum(1) / 2
+            ok = mine & (bound <= limit)
+            if ok.any():
+                queue[i] = c[ok][np.argsort(bound[ok], kind="stable")]
         links = []
         while queue:
             pairs = []
@@ -384,47 +515,63 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     copies = materialize(known.select("text_hash", "row").join(pick, "text_hash").where("row <> first").select("row"), "omh-copies")
     reps = known.join(_few(copies), "row", "left_anti").where("n_words > 0").select(F.col("doc_id").alias("rep"), "n_words", "sketch", "short")
     keys = F.concat(F.array_remove("sketch", F.lit(0).cast("long")), "short")
-    entries = reps.select("rep", "n_words", F.explode(keys).alias("bucket"))
-    heads = entries.groupBy("bucket").agg(F.min(F.struct("rep", "n_words")).alias("head"), F.count("*").alias("size")).where(F.col("size") > 1)
+    entries = reps.select(F.explode(keys).alias("bucket"), "rep", "n_words")
+    ranged = entries.repartitionByRange("bucket", "rep").sortWithinPartitions("bucket", "rep")
+    shared = materialize(ranged.mapInArrow(_shared, "bucket long, rep long, n_words int"), "omh-shared")
+    heads = shared.groupBy("bucket").agg(F.min(F.struct("rep", "n_words")).alias("head"), F.count("*").alias("size")).where(F.col("size") > 1)
     heads = materialize(heads.select("bucket", "head"), "omh-heads")
-    members = materialize(entries.join(_few(heads), "bucket").select("bucket", "rep", "n_words", "head"), "omh-buckets")
+    members = materialize(shared.join(heads, "bucket").select("bucket", "rep", "n_words", "head"), "omh-buckets")
     close = F.greatest("n_words", "head.n_words") - F.least("n_words", "head.n_words") <= F.floor(F.lit(1 - similarity) * F.greatest("n_words", "head.n_words") + F.lit(1e-9))
     stars = materialize(members.where((F.col("rep") != F.col("head.rep")) & close).select(F.col("head.rep").alias("u"), F.col("rep").alias("v")).distinct(), "omh-stars")
     wanted = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "omh-candidates")
-    words = materialize(own.join(_few(wanted), "doc_id", "left_semi").mapInArrow(_word_rows, "doc_id long, words binary").dropDuplicates(["doc_id"]), "omh-words")
+    words = materialize(own.join(_few(wanted), "doc_id", "left_semi").mapInArrow(_word_rows, "doc_id long, words binary, histogram binary").dropDuplicates(["doc_id"]), "omh-words")
     links = materialize(verify(stars, words, similarity), "omh-links")
-    more = materialize(_more_links(members, reps, words, components(links), similarity).distinct(), "omh-links-second")
-    final = components(links.unionByName(more))
+    left = materialize(_open_blocks(members, words, one_round(links), similarity), "omh-left")
+    # the few partners of least bound first: they join most of what is left, each aligned once and not in every block
+    best = left.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set(F.struct("bound", "partner"))), 1, NEAREST).alias("near"))
+    pairs = best.select("rep", F.explode("near.partner").alias("partner")).select(F.least("rep", "partner").alias("u"), F.greatest("rep", "partner").alias("v")).distinct()
+    links = materialize(links.unionByName(verify(materialize(pairs, "omh-nearest"), words, similarity)), "omh-links-nearest")
+    final = components(links)
+    more = materialize(_other_links(left.drop("partner", "bound"), reps, words, final, similarity).distinct(), "omh-links-second")
+    if not more.isEmpty():
+        final = joined_components(final, more)
     by_text = materialize(pick.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("text_hash", F.coalesce("component", "rep").alias("class_id")), "omh-classes")
     return sig.join(by_text, "text_hash", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "n_words")
 
 
-def _more_links(members: DataFrame, reps: DataFrame, words: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Links between the components that still share a bucket.
+def _open_blocks(members: DataFrame, words: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Rows of blocks with several components that have a possible partner in another one.
 
-    A pair is similar enough only if its lengths differ by a factor of ``similarity`` at most, so strays meet their own band of lengths and the two beside it.
+    A pair is similar enough only if its lengths differ by a factor of ``similarity`` at most. So a document is
+    compared within its own band of lengths, and (``up``) with the documents of the band below.
     """
     tagged = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n_words", F.coalesce("component", "rep").alias("component"))
     tagged = materialize(tagged, "omh-tagged")
-    by_comp = tagged.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = by_comp.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where(F.col("kinds") > 1)
-    mixed = mixed.select("bucket", F.col("top.component").alias("main"))
+    several = F.min("component") < F.max("component")
+    mixed = tagged.groupBy("bucket").agg(several.alias("several")).where("several").select("bucket")
     band = F.floor(F.log(F.col("n_words").cast("double")) / F.lit(-float(np.log(similarity)))).cast("int")
     place = materialize(tagged.join(mixed, "bucket").withColumn("band", band), "omh-mixed")
-    stray = F.col("component") != F.col("main")
-    dealt = [place.where(stray).select("bucket", "rep", "n_words", "component", F.lit(0).alias("side"), "band")]
-    dealt.append(place.select("bucket", "rep", "n_words", "component", F.lit(1).alias("side"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")))
-    both = dealt[0].unionByName(dealt[1])
-    parts = lambda side: F.greatest(F.ceil(F.count_if(F.col("side") == side) / BLOCK), F.ceil(F.sum(F.when(F.col("side") == side, F.col("n_words")).otherwise(0)) / BLOCK_WORDS)).cast("int")
-    sizes = both.groupBy("bucket", "band").agg(parts(0).alias("rows"), parts(1).alias("cols")).where("rows > 0 and cols > 0")
-    sized = both.join(sizes, ["bucket", "band"])
-    own, across = F.col("side") == 0, F.when(F.col("side") == 0, F.col("cols")).otherwise(F.col("rows"))
-    sized = sized.withColumn("mine", F.pmod(F.xxhash64("rep"), F.when(own, F.col("rows")).otherwise(F.col("cols"))).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), across - 1)))
-    sized = sized.select("bucket", "band", "rep", "n_words", "component", "side", F.when(own, F.col("mine")).otherwise(F.col("other")).alias("i"), F.when(own, F.col("other")).otherwise(F.col("mine")).alias("j"))
-    needed = materialize(place.select("rep").distinct(), "omh-mixed-ids")
-    payload = words.select(F.col("doc_id").alias("rep"), "words").join(_few(needed), "rep", "left_semi").join(reps.join(_few(needed), "rep", "left_semi").select("rep", "sketch"), "rep")
-    full = sized.join(payload, "rep").select("bucket", "band", "i", "j", "side", "rep", "n_words", "component", "words", "sketch")
-    return full.groupBy("bucket", "band", "i", "j").applyInPandas(_second_look(similarity), "u long, v long")
+    both = place.select("bucket", "rep", "n_words", "component", F.posexplode(F.array(F.col("band"), F.col("band") - 1)).alias("up", "band")).withColumn("up", F.col("up") == 1)
+    parts = F.greatest(F.ceil(F.count("*") / PART_ROWS), F.ceil(F.sum("n_words") / PART_WORDS)).cast("int")
+    cells = both.groupBy("bucket", "band").agg(parts.alias("parts"), several.alias("several"), F.bool_and("up").alias("above")).where("several and not above").drop("several", "above")
+    sized = both.join(materialize(cells, "omh-cells"), ["bucket", "band"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    sized = sized.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sized = sized.select("bucket", "band", F.least("part", "x").alias("i"), F.greatest("part", "x").alias("j"), "part", "up", "rep", "n_words", "component")
+    light = sized.join(words.select(F.col("doc_id").alias("rep"), "histogram"), "rep").select(*sized.columns, "histogram")
+    light = light.repartition(*_CELL).sortWithinPartitions(*_CELL)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sized.schema.fields)
+    return light.mapInArrow(_filter(similarity), f"{columns}, partner long, bound int")
+
+
+def _other_links(left: DataFrame, reps: DataFrame, words: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Links of the blocks that still hold several components."""
+    now = left.drop("component").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    now = materialize(now.select(*left.columns), "omh-relabelled")
+    cells = now.groupBy(*_CELL).agg((F.min("component") < F.max("component")).alias("several")).where("several").drop("several")
+    now = materialize(now.join(cells, _CELL), "omh-open")
+    needed = materialize(now.select("rep").distinct(), "omh-open-ids")
+    payload = words.withColumnRenamed("doc_id", "rep").join(_few(needed), "rep", "left_semi").join(reps.select("rep", "sketch"), "rep")
+    return now.join(payload, "rep").groupBy(*_CELL).applyInPandas(_second_look(similarity), "u long, v long")
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -255,7 +255,7 @@ def test_op10_alignment():
             b = [np.insert(b, p, rng.integers(30)), np.delete(b, p) if len(b) > 1 else b, np.where(np.arange(len(b)) == p, rng.integers(30), b)][rng.integers(3)]
         pairs.append((a, b.astype(np.uint32)))
     limit = np.array([int(0.3 * max(len(a), len(b))) for a, b in pairs])
-    for (a, b), most, got in zip(pairs, limit, banded_distance(pairs, limit, band=2), strict=True):
+    for (a, b), most, got in zip(pairs, limit, banded_distance(pairs, limit), strict=True):
         want = _distance(a.tolist(), b.tolist())
         assert got == want if want <= most else got > most
 
