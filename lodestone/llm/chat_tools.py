@@ -6,19 +6,30 @@ with ``tool_call_id`` is a result. In plain conversations a user turn is a call
 of the tool ``reply`` with identifier ``conv_id:turn``, and the assistant turn
 right after it is its result.
 
-Calls and results meet in a hash join on the identifier. Calls of a
-conversation are put in topological order: by level over their explicit
-dependencies (peeled off round by round; what is never freed is on a cycle),
-then by turn and position. Arguments are checked against the tool schemas and
-calls are serialised as JSON with sorted keys and no white space.
+Calls and results meet in a hash join on conversation and identifier, so an
+identifier may recur in other conversations. Calls of a conversation are put
+in topological order: by level over their explicit dependencies (the longest
+chain below a call), then by turn and position. Chains of calls with one
+dependency each are shortened by pointer doubling, so rounds grow with the
+logarithm of their length; what is left is peeled off round by round until
+nothing is freed, and what then remains lies on or behind a cycle. Arguments
+are checked against the tool schemas and calls are serialised as JSON with
+sorted keys and no white space.
 
 Only DataFrame operations are used. Order numbers are counted per segment of
 1024 turns and then added up, so no conversation meets in one task whole.
 
-Defined results: equal rows count once; several results of one identifier:
-the earliest turn, then the smaller text; a null conv_id or turn gives a call
-without identifier (``no_identifier``); a null text is an empty argument; a
-role that is null is ignored; results without a call are ``orphan_result``.
+Defined results: equal rows count once; of several results of one identifier
+the earliest turn, then the smaller text is the call's, the others are rows of
+their own (``surplus_result``); calls of one conversation with the same
+identifier all get its result and its deepest level; a null conv_id, or a null
+turn of a plain call, gives a call without identifier (``no_identifier``,
+never linked); a null text is an empty argument; a role that is null is
+ignored; results without a call are ``orphan_result``; a dependency that is no
+call of the conversation is ignored; ties of the order go by position,
+identifier, canonical text; texts of any length are taken whole; only the
+columns conv_id, turn, role and text are read, so others may have any name; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -82,45 +93,73 @@ def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls.unionByName(told), results.unionByName(answers)
 
 
-def levels(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """Level of every call that depends on another call of the table (0 for those with none left out); null on cycles."""
-    edges = calls.select("call_id", F.explode("depends_on").alias("needs")).where("call_id is not null").distinct()
-    edges = materialize(edges.join(calls.select(F.col("call_id").alias("needs")).distinct(), "needs", "left_semi"), "chat-edges")
-    done = None
-    left = edges
-    for level in range(max_rounds):
-        if left.isEmpty():
+def levels(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of every call that depends on another call of its conversation; level null on or behind a cycle.
+
+    Rows of ``calls``: conv_id, call_id, depends_on.
+    """
+    node = ["conv_id", "call_id"]
+    edges = calls.where("conv_id is not null and call_id is not null").select(*node, F.explode("depends_on").alias("needs")).distinct()
+    known = calls.select("conv_id", F.col("call_id").alias("needs")).distinct()
+    edges = materialize(edges.join(known, ["conv_id", "needs"], "left_semi"), "chat-edges")
+    degree = materialize(edges.groupBy(*node).agg(F.count("*").alias("n"), F.min("needs").alias("needs")), "chat-degrees")
+    # chains: (call, target, length), doubled until every target has no or several dependencies
+    jump = degree.where("n = 1").select(*node, F.col("needs").alias("target"), F.lit(1).cast("long").alias("length"))
+    size, reach = jump.count(), 1
+    while reach <= size:
+        onward = jump.select("conv_id", F.col("call_id").alias("target"), F.col("target").alias("beyond"), F.col("length").alias("more"))
+        joined = jump.join(onward, ["conv_id", "target"], "left")
+        moved = F.col("beyond").isNotNull()
+        joined = joined.select(*node, F.coalesce("beyond", "target").alias("target"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), moved.alias("moved"))
+        jump, reach = materialize(joined, "chat-chains"), reach * 2
+        if jump.where("moved").isEmpty():
             break
-        blocked = left.select("call_id").distinct()
-        free = left.select(F.col("needs").alias("call_id")).distinct().join(blocked, "call_id", "left_anti") if level == 0 else done.where(F.col("level") == level).select("call_id")
-        rest = materialize(left.join(free.withColumnRenamed("call_id", "needs"), "needs", "left_anti"), "chat-rest")
-        ready = blocked.join(rest.select("call_id").distinct(), "call_id", "left_anti").withColumn("level", F.lit(level + 1))
-        ready = materialize(ready, "chat-ready")
-        done = ready if done is None else done.unionByName(ready)
-        if ready.isEmpty():
-            break
-        left = rest
-    stuck = left.select("call_id").distinct().withColumn("level", F.lit(None).cast("int"))
-    return stuck if done is None else done.join(stuck, "call_id", "left_anti").unionByName(stuck)
+        jump = jump.drop("moved")
+    jump = jump.select(*node, "target", "length")
+    # the rest: calls with several dependencies, each led to the end of its chain
+    led = jump.select("conv_id", F.col("call_id").alias("needs"), "target", "length")
+    left = edges.join(degree.where("n > 1").select(*node), node, "left_semi").join(led, ["conv_id", "needs"], "left")
+    left = materialize(left.select(*node, F.coalesce("target", "needs").alias("target"), (F.coalesce("length", F.lit(0)) + 1).alias("length")), "chat-branches")
+    done = edges.select("conv_id", F.col("needs").alias("call_id")).distinct().join(degree, node, "left_anti").withColumn("level", F.lit(0).cast("long"))
+    done = new = materialize(done, "chat-roots")
+    left = left.withColumn("below", F.lit(None).cast("long"))
+    while not new.isEmpty() and not left.isEmpty():
+        found = new.select("conv_id", F.col("call_id").alias("target"), F.col("level").alias("found"))
+        left = left.join(found, ["conv_id", "target"], "left").select(*node, "target", "length", F.coalesce("below", F.col("found") + F.col("length")).alias("below"))
+        left = materialize(left, "chat-left")
+        new = materialize(left.groupBy(*node).agg(F.count_if(F.col("below").isNull()).alias("open"), F.max("below").alias("level")).where("open = 0").select(*node, "level"), "chat-freed")
+        done, left = done.unionByName(new), left.join(new, node, "left_anti")
+    ends = done.select("conv_id", F.col("call_id").alias("target"), F.col("level").alias("under"))
+    chained = jump.join(ends, ["conv_id", "target"], "left").select(*node, (F.col("under") + F.col("length")).alias("level"))
+    branching = degree.where("n > 1").select(*node).join(done, node, "left").select(*node, "level")
+    return chained.unionByName(branching)
 
 
 def link(messages: DataFrame, tools: tuple[Tool, ...] = TOOLS) -> DataFrame:
-    """One row per call and orphan result: conv_id, turn, position, call_id, result_turn, topo_order, status, errors, canonical."""
+    """One row per call and per result without a call: conv_id, turn, position, call_id, result_turn, topo_order, status, errors, canonical."""
     calls, results = extract(messages)
     # texts stay out of the ordering: it runs over identifiers and turns
-    order = levels(calls.select("call_id", "depends_on").where(F.size("depends_on") > 0).unionByName(calls.select("call_id", F.array().cast("array<string>").alias("depends_on"))))
-    one = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "content", "conv_id")).alias("r"))
-    both = calls.join(one, "call_id", "full_outer").join(order.withColumn("deep", F.lit(True)), "call_id", "left")
+    needing = calls.where(F.size("depends_on") > 0)
+    order = levels(needing.select("conv_id", "call_id", "depends_on").unionByName(calls.select("conv_id", "call_id", F.array().cast("array<string>").alias("depends_on"))))
+    key = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    told = results.where(key).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
+    every = results.where(key).groupBy("conv_id", "call_id", "turn", "content").agg(F.count("*").alias("n"))
+    other = every.join(told, ["conv_id", "call_id"]).where(~F.struct("turn", "content").eqNullSafe(F.col("r"))).select("conv_id", "call_id", F.struct("turn", "content").alias("r"))
+    lone = other.withColumn("kind", F.lit("surplus_result")).unionByName(results.where(~key).select("conv_id", "call_id", F.struct("turn", "content").alias("r"), F.lit("orphan_result").alias("kind")))
+    columns = [F.lit(None).cast(t).alias(c) for c, t in (("turn", "long"), ("position", "int"), ("name", "string"), ("arguments", "string"), ("depends_on", "array<string>"))]
+    linked = calls.where(key).join(told, ["conv_id", "call_id"], "full_outer").withColumn("kind", F.lit(None).cast("string"))
+    both = linked.unionByName(calls.where(~key).withColumn("r", F.lit(None).cast("struct<turn:bigint,content:string>")).withColumn("kind", F.lit(None).cast("string"))).unionByName(lone.select("*", *columns))
+    both = both.join(order.withColumn("deep", F.lit(True)), ["conv_id", "call_id"], "left")
     errors = argument_errors(F.col("name"), F.col("arguments"), tools)
     is_call = F.col("name").isNotNull() | F.col("arguments").isNotNull()
     rows = both.select(
-        F.coalesce("conv_id", "r.conv_id").alias("conv_id"), F.coalesce("turn", "r.turn").alias("turn"), F.coalesce("position", F.lit(0)).alias("position"), "call_id", F.col("r.turn").alias("result_turn"),
+        "conv_id", "kind", F.coalesce("turn", "r.turn").alias("turn"), F.coalesce("position", F.lit(0)).alias("position"), "call_id", F.col("r.turn").alias("result_turn"),
         F.when(F.col("deep"), F.col("level")).otherwise(0).alias("level"), F.coalesce("deep", F.lit(False)).alias("deep"), is_call.alias("is_call"),
         F.when(is_call, errors).otherwise(F.array().cast("array<string>")).alias("e"), "name", "arguments", F.col("r.content").alias("content"),
     )
-    status = F.when(~F.col("is_call"), "orphan_result").when(F.col("call_id").isNull(), "no_identifier").when(F.col("deep") & F.col("level").isNull(), "cycle").when(F.size("e") > 0, "invalid_arguments").when(F.col("result_turn").isNull(), "missing_result").otherwise("ok")
+    status = F.when(~F.col("is_call"), F.coalesce("kind", F.lit("orphan_result"))).when(F.col("call_id").isNull() | F.col("conv_id").isNull(), "no_identifier").when(F.col("deep") & F.col("level").isNull(), "cycle").when(F.size("e") > 0, "invalid_arguments").when(F.col("result_turn").isNull(), "missing_result").otherwise("ok")
     body = F.concat(F.lit('{"arguments":'), F.coalesce(F.to_json(F.try_parse_json("arguments")), F.lit("null")), F.lit(',"id":'), _quoted("call_id"), F.lit(',"name":'), _quoted("name"), F.lit(',"result":'), _quoted("content"), F.lit("}"))
-    full = rows.select("conv_id", "turn", "position", "call_id", "result_turn", F.coalesce("level", F.lit(1 << 30)).alias("level"), status.alias("status"), F.array_join("e", "; ").alias("errors"), body.alias("canonical"))
+    full = rows.select("conv_id", "turn", "position", "call_id", "result_turn", F.coalesce("level", F.lit(1 << 62)).alias("level"), status.alias("status"), F.array_join("e", "; ").alias("errors"), body.alias("canonical"))
     full = full.withColumn("segment", F.floor(F.col("turn") / SEGMENT))
     sizes = full.groupBy("conv_id", "level", "segment").agg(F.count("*").alias("n"))
     before = Window.partitionBy("conv_id").orderBy("level", "segment").rowsBetween(Window.unboundedPreceding, -1)
@@ -145,14 +184,17 @@ def op4_tool_calls(spark, sf_dir: str) -> DataFrame:
 OP4_SQL = """
 WITH m AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 calls AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, text FROM m WHERE role = 'user'),
-results AS (SELECT conv_id || ':' || (turn - 1) AS call_id, min(conv_id) AS conv_id, min(turn) AS turn, arg_min(text, (turn, text)) AS content FROM m WHERE role = 'assistant' GROUP BY 1),
+replies AS (SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text AS content, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth FROM m WHERE role = 'assistant'),
+results AS (SELECT * FROM replies WHERE nth = 1),
 linked AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.call_id, r.call_id) AS call_id, r.turn AS result_turn,
          CASE WHEN c.call_id IS NULL THEN 'orphan_result' WHEN r.call_id IS NULL THEN 'missing_result' ELSE 'ok' END AS status,
          CASE WHEN c.call_id IS NULL THEN to_json({'arguments': NULL, 'id': r.call_id, 'name': NULL, 'result': r.content})
               ELSE to_json({'arguments': {'text': c.text, 'turn': c.turn}, 'id': c.call_id, 'name': 'reply', 'result': r.content}) END AS canonical
-  FROM calls c FULL JOIN results r ON c.call_id = r.call_id)
-SELECT conv_id, turn, call_id, result_turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, call_id) - 1 AS topo_order,
+  FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+  UNION ALL
+  SELECT conv_id, turn, call_id, turn, 'surplus_result', to_json({'arguments': NULL, 'id': call_id, 'name': NULL, 'result': content}) FROM replies WHERE nth > 1)
+SELECT conv_id, turn, call_id, result_turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, call_id, CAST(canonical AS VARCHAR)) - 1 AS topo_order,
        status, '' AS errors, CAST(canonical AS VARCHAR) AS canonical
 FROM linked
 """
