@@ -13,9 +13,18 @@ overshoots and few are needed. The rate of a document is a function of its own
 posterior and of the (steps x domains) numbers so far, so nothing per document
 is kept on the driver.
 
+``solve`` ends when the targets are met, or when steps no longer change the
+gap (targets that no rates can meet: least squares leaves a rest); if it has
+done neither after ``STEPS`` steps and the gap is above ``MAX_GAP`` of all
+tokens, it raises an error.
+
 Defined results: null text is empty (0 tokens, rate 1); repeated rows keep
-their own equal rates; without labels there is one domain and all rates are
-equal; an empty table gives no rows.
+their own equal rates; equal texts get equal rates; texts of any length count
+whole; a doc_id with contradicting labels has the smaller pair; without labels
+there is one domain and all rates are equal; more than ``MAX_DOMAINS`` domains
+raise an error; ``posteriors`` reads doc_id and text only and ``resample``
+returns all columns as they are, whatever their names; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -32,7 +41,10 @@ from lodestone.session import load, materialize
 
 FIT_ROWS = 6000
 FEATURES = 512
-STEPS = 30
+STEPS = 60
+#: Largest gap, as a share of all tokens, with which the targets count as met; smallest change of it that counts as progress.
+TOLERANCE, PROGRESS, MAX_GAP = 1e-6, 1e-6, 0.01
+MAX_DOMAINS = 256
 DOMAINS = ("q0t0", "q0t1", "q1t0", "q1t1")
 #: Target share of the tokens of each domain.
 TARGETS = {"q0t0": 0.04, "q0t1": 0.01, "q1t0": 0.9, "q1t1": 0.05}
@@ -86,7 +98,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features: int = FEATURES) -> Posterior:
     sample = materialize(_labelled(docs, labels, fit_rows).select("domain", "text"), "mix-sample").coalesce(12)
-    sizes = {r[0]: r[1] for r in sample.groupBy("domain").count().orderBy("domain").limit(64).collect()}
+    sizes = {r[0]: r[1] for r in sample.groupBy("domain").count().orderBy("domain").limit(MAX_DOMAINS + 1).collect()}
+    if len(sizes) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} pairs of labels")
     domains = tuple(sizes) or (DOMAINS[0],)
     if len(domains) < 2:
         return Posterior(domains, np.zeros(0, np.int64), np.zeros((1, len(domains))))
@@ -156,15 +170,16 @@ def rates_of(p: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
 
 
 def _sums(members: DataFrame, k: int, history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens by domain at the current rates, and the second moments of the posteriors."""
+    """Expected tokens by domain at the current rates, and the second moments of the posteriors of rows with a rate above 0."""
 
     def run(batches):
         total, moment = np.zeros(k), np.zeros((k, k))
         for b in batches:
             if b.num_rows:
                 n, p = b.column(0).to_numpy().astype(float), b.column(1).flatten().to_numpy().reshape(-1, k)
-                total += (rates_of(p, history) * n) @ p
-                moment += (p * n[:, None]).T @ p
+                w = rates_of(p, history)
+                total += (w * n) @ p
+                moment += (p * n[:, None])[w > 0].T @ p[w > 0]
         yield pa.record_batch([pa.array(range(k + k * k), pa.int32()), pa.array(np.append(total, moment.ravel()))], names=["i", "v"])
 
     out = np.zeros(k + k * k)
@@ -184,15 +199,27 @@ def solve(members: DataFrame, domains: tuple[str, ...], targets: dict[str, float
     else:
         share = np.array([(targets or TARGETS).get(d, 0.0) for d in domains])
         goal = now.sum() * (share / share.sum() if share.sum() else np.full(k, 1 / k))
-    scale = np.linalg.pinv(moment + 1e-12 * np.trace(moment) * np.eye(k))
+    inverse = lambda m: np.linalg.pinv(m + 1e-12 * np.trace(m) * np.eye(k))
+    whole = inverse(moment)
+    size = lambda x: float(np.sqrt(x @ whole @ x) / np.sqrt(goal @ whole @ goal))
     history: list[np.ndarray] = []
-    for _ in range(steps):
+    last = np.inf
+    while True:
         gap = now - goal
-        if np.abs(gap).max() <= 1e-6 * goal.sum():
-            break
-        history.append(scale @ gap)
-        now, _ = _sums(members, k, history)
-    return history
+        if np.abs(gap).max() <= TOLERANCE * goal.sum() or last - size(gap) < PROGRESS * size(gap):
+            return history
+        if len(history) >= steps:
+            if np.abs(gap).max() > MAX_GAP * goal.sum():
+                raise RuntimeError(f"targets not met after {steps} steps: relative gap {size(gap):.2g}")
+            return history
+        last = size(gap)
+        # a step in the metric of the rows that still move; in that of all rows, which never overshoots, if the first makes things worse
+        for metric in (inverse(moment), whole):
+            trial = [*history, metric @ gap]
+            after, active = _sums(members, k, trial)
+            if size(after - goal) < last:
+                break
+        history, now, moment = trial, after, active
 
 
 def rates(members: DataFrame, domains: tuple[str, ...], history: list[np.ndarray]) -> DataFrame:
