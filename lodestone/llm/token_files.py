@@ -2,7 +2,8 @@
 
 Documents are range-partitioned by doc_id and each partition writes one Arrow
 IPC file to the shared folder: a column ``input_ids`` of fixed-size lists of
-``seq_len`` unsigned 16-bit ids and a column ``mask`` of fixed-size lists of
+``seq_len`` unsigned ids (16 bits, or 32 if the vocabulary has more than
+65,536 entries) and a column ``mask`` of fixed-size lists of
 booleans, uncompressed, so a memory-mapped reader gets sequence ``i`` as
 ``batch.values[i * seq_len : (i + 1) * seq_len]`` without a copy. Ids run on
 from document to document; only the last sequence of a file is padded (mask
@@ -13,7 +14,10 @@ which Spark commits, count. So a lost executor costs a rewrite, not a wrong
 file.
 
 Defined results: null text is empty (one end id); null doc_id sorts first;
-equal doc_ids keep the order of their texts; an empty table gives no files.
+equal doc_ids keep the order of their texts and are written by one task, as a
+range never splits a doc_id; a text of any length is written whole; only
+doc_id and text are read, so other columns may have any name; an empty table
+gives no files.
 """
 
 from __future__ import annotations
@@ -45,18 +49,23 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def id_type(entries: int) -> type:
+    """The smallest of the two id types that holds ``entries`` ids."""
+    return np.uint16 if entries <= 1 << 16 else np.uint32
+
+
 class SequenceWriter:
     """Writes a stream of ids as fixed-size-list batches of ``rows`` sequences."""
 
-    def __init__(self, sink, seq_len: int, rows: int = 1024):
+    def __init__(self, sink, seq_len: int, rows: int = 1024, dtype: type = np.uint16):
         self.seq_len, self.size, self.rest = seq_len, seq_len * rows, []
-        self.held = 0
-        self.schema = pa.schema([("input_ids", pa.list_(pa.uint16(), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
+        self.held, self.dtype = 0, dtype
+        self.schema = pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
         self.out = pa.ipc.new_file(sink, self.schema)
 
     def _batch(self, ids: np.ndarray) -> None:
         n = -(-len(ids) // self.seq_len) * self.seq_len
-        full = np.zeros(n, np.uint16)
+        full = np.zeros(n, self.dtype)
         full[: len(ids)] = ids
         mask = np.arange(n) < len(ids)
         cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (full, mask)]
@@ -91,9 +100,10 @@ def _writer(folder: str, end_id: int, seq_len: int, vocab: str | None):
             if writer is None:
                 fs.create_dir(path, recursive=True)
                 sink = fs.open_output_stream(f"{path}/{name}.arrow")
-                writer = SequenceWriter(sink, seq_len)
+                dtype = id_type(max(end_id + 1, enc.vocab_size))
+                writer = SequenceWriter(sink, seq_len, dtype=dtype)
             ids, row = enc.encode(s)
-            out = np.insert(ids, row[1:], end_id).astype(np.uint16)
+            out = np.insert(ids, row[1:], end_id).astype(dtype)
             writer.write(out)
             docs.append(s.column("doc_id"))
             sizes.append(np.diff(row) + 1)

@@ -57,7 +57,8 @@ class PieceEncoder:
         self.tok.encode_special_tokens = True
         self.classes, self.max_pieces = _classes(), max_pieces
         plain = {c: b for b, c in zip(_BYTES, _BYTE_CHARS, strict=True)}
-        self.id_bytes = np.zeros(self.tok.get_vocab_size(), np.int64)
+        self.vocab_size = max(self.tok.get_vocab().values(), default=-1) + 1
+        self.id_bytes = np.zeros(self.vocab_size, np.int64)
         for token, i in self.tok.get_vocab().items():
             self.id_bytes[i] = sum(c in plain for c in token) if all(c in plain for c in token) else len(token.encode())
         self._reset()
