@@ -11,12 +11,17 @@ its own pieces per bin, prefix sums over (task, bin) give global ranks, and a
 rank determines sequence and slot. No group of pieces meets in one task but
 the pieces of one sequence.
 
-Defined results: null text is empty (one end id); repeated rows are packed as
-often as they occur; an empty table gives no pieces.
+Defined results: null text is empty (one end id); repeated rows, and rows with
+a null doc_id, are packed as often as they occur; pieces of equal length are
+dealt in the order of task and place; a text of any length is cut whole; only
+doc_id and text are read, so other columns may have any name; an empty table
+gives no pieces. If column generation ends early (``max_steps``), it warns;
+the sequences are still valid.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from dataclasses import dataclass, field
 
@@ -79,6 +84,8 @@ def column_generation(demand: np.ndarray, max_steps: int = 5000) -> tuple[np.nda
         inverse[out] /= direction[out]
         rest = np.arange(m) != out
         inverse[rest] -= np.outer(direction[rest], inverse[out])
+    else:
+        warnings.warn(f"column generation stopped after {max_steps} steps; its patterns are valid but may pack less tightly", stacklevel=2)
     return patterns, x
 
 
