@@ -11,7 +11,10 @@ survive the format's rounding. Memory is bounded by the slice; a longer text
 is cut into frames of ``jpeg.FRAME_BYTES``.
 
 Defined results: null text is empty and is stored as 64 zero bytes; equal
-texts give equal values whatever their neighbours; an empty table gives none.
+texts give equal values whatever their neighbours; repeated rows give repeated
+results; a text of any length is stored whole, in as many frames as it needs;
+only doc_id and text are read, so other columns may have any name; an empty
+table gives none.
 """
 
 from __future__ import annotations
