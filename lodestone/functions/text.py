@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 #: Extensions and the language of each.
 LANGUAGE_BY_EXTENSION = {".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".py": "python", ".java": "java", ".cpp": "cpp", ".c": "c", ".h": "c", ".go": "go", ".rs": "rust", ".rb": "ruby", ".php": "php", ".md": "markdown", ".json": "json"}
 #: Words that add a branch.
-BRANCH_WORDS = ("if", "else", "while", "for", "switch", "case", "catch", "try", "and", "or")
-SKIP_DIRS = ("node_modules", ".git", "dist", "build", "coverage", "__pycache__", ".next")
+BRANCH_WORDS = ("if", "else", "elif", "while", "for", "switch", "case", "try", "catch", "except")
+#: Extensions of relevant files, and parts of a path that make it irrelevant.
+RELEVANT_EXTENSIONS = (".js", ".jsx", ".ts", ".tsx", ".py", ".go", ".rs", ".java", ".cpp", ".c", ".h", ".hpp", ".md", ".rst", ".txt", ".json", ".yaml", ".yml", ".toml", ".html", ".css", ".scss")
+SKIP_DIRS = ("node_modules", ".git", "dist", "build", "coverage", ".next", ".cache")
+#: Extensions of code files.
+CODE_EXTENSIONS = (".js", ".jsx", ".ts", ".tsx", ".py", ".go", ".rs", ".java", ".cpp", ".c", ".h")
+#: Terms of a query that raise its complexity, label or preset.
+TECHNICAL_TERMS = ("class", "function", "import", "export", "async", "await", "error", "bug", "fix")
+LABEL_TERMS = ("implement", "understand", "analyze", "debug", "refactor", "architecture")
+DEBUG_TERMS = ("debug", "error", "fix", "bug", "issue")
+EXPLORE_TERMS = ("understand", "learn", "explore", "architecture", "overview")
 
 
 def extension(path: Column) -> Column:
@@ -21,8 +30,12 @@ def language_of(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table, extension(path)), F.lit("unknown"))
 
 
-def is_relevant(path: Column, extensions=tuple(LANGUAGE_BY_EXTENSION)) -> Column:
-    """A known extension and none of the skipped folders in the path."""
+def is_code(path: Column) -> Column:
+    return extension(path).isin(*CODE_EXTENSIONS)
+
+
+def is_relevant(path: Column, extensions=RELEVANT_EXTENSIONS) -> Column:
+    """A known extension and none of the skipped folders anywhere in the path."""
     skipped = F.lit(False)
     for d in SKIP_DIRS:
         skipped = skipped | path.contains(d)
@@ -34,13 +47,24 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda w: w != "")
 
 
+def whole_words(wanted) -> str:
+    """A pattern for whole ASCII words."""
+    return r"(?<![A-Za-z0-9_])(?:" + "|".join(wanted) + r")(?![A-Za-z0-9_])"
+
+
 def count_words(text: Column, wanted) -> Column:
-    return F.size(F.filter(F.split(text, "[^A-Za-z0-9_]+"), lambda w: w.isin(*wanted)))
+    return F.regexp_count(text, F.lit(whole_words(wanted)))
+
+
+def has_word(text: Column, wanted) -> Column:
+    return F.lower(text).rlike(whole_words(wanted))
 
 
 def count_of(text: Column, literal: str) -> Column:
     """Non-overlapping occurrences of a literal."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(literal), F.lit("")))) / len(literal)).cast("int")
+    import re
+
+    return F.regexp_count(text, F.lit(re.escape(literal)))
 
 
 def complexity(text: Column) -> Column:
@@ -91,21 +115,24 @@ def band(score: Column, threshold: float = 20) -> Column:
     return F.when(score >= 80, "critical").when(score >= 65, "high").when(score >= 40, "medium").when(score >= threshold, "low").otherwise("skip")
 
 
+def _pieces(text: Column) -> Column:
+    """Parts between runs of white space; an empty one counts, as at the ends of a text."""
+    return F.size(F.split(text, r"[ \t\n\r\f]+"))
+
+
 def query_complexity(text: Column) -> Column:
     """min(1, len/200) + min(.3, words/20) + .2 for a technical term, at most 1."""
-    n = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    tech = F.lower(text).rlike("function|class|method|api|database|algorithm|async|interface")
-    return F.least(F.lit(1.0), F.least(F.lit(1.0), F.length(text) / 200) + F.least(F.lit(0.3), n / 20) + F.when(tech, 0.2).otherwise(0.0))
+    tech = F.when(has_word(text, TECHNICAL_TERMS), 0.2).otherwise(0.0)
+    return F.least(F.lit(1.0), F.least(F.lit(1.0), F.length(text) / 200) + F.least(F.lit(0.3), _pieces(text) / 20) + tech)
 
 
 def query_label(text: Column) -> Column:
-    n = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    return F.when((n > 10) | F.lower(text).rlike("relationship|dependency|architecture"), "complex").when(n > 5, "medium").otherwise("simple")
+    n = _pieces(text)
+    return F.when((n > 10) | has_word(text, LABEL_TERMS), "complex").when(n > 5, "medium").otherwise("simple")
 
 
 def preset_for(text: Column) -> Column:
-    low = F.lower(text)
-    return F.when(low.rlike("debug|error|bug|fix"), "high-relevance").when(low.rlike("explore|overview|understand"), "high-diversity").otherwise("balanced")
+    return F.when(has_word(text, DEBUG_TERMS), "high-relevance").when(has_word(text, EXPLORE_TERMS), "high-diversity").otherwise("balanced")
 
 
 def glob_regex(glob: str) -> str:

@@ -83,12 +83,9 @@ class ChunkCode:
 
 
 def code_chunks(files: DataFrame, key: str, language: str, text: str) -> DataFrame:
-    """Code files to chunks through a table function."""
+    """Code files to chunks through a table function, joined laterally."""
     udtf = F.udtf(ChunkCode, returnType=CHUNK)
-    spark = files.sparkSession
-    spark.udtf.register("chunk_code", udtf)
-    files.select(key, F.col(language).alias("language_"), F.col(text).alias("text_")).createOrReplaceTempView("code_files_")
-    return spark.sql(f"SELECT f.{key}, c.* FROM code_files_ f, LATERAL chunk_code(f.language_, f.text_) c")
+    return files.lateralJoin(udtf(F.col(language).outer(), F.col(text).outer())).select(key, *CHUNK.fieldNames())
 
 
 SYMBOL = T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("scope", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("target", T.StringType()), T.StructField("strength", T.DoubleType())])
@@ -136,7 +133,5 @@ class ParsePython:
 
 def python_symbols(files: DataFrame, key: str, text: str) -> DataFrame:
     """Symbols (no target) and edges (with target) of Python files."""
-    spark = files.sparkSession
-    spark.udtf.register("parse_python", F.udtf(ParsePython, returnType=SYMBOL))
-    files.select(key, F.col(text).alias("text_")).createOrReplaceTempView("python_files_")
-    return spark.sql(f"SELECT f.{key}, s.* FROM python_files_ f, LATERAL parse_python(f.text_) s")
+    udtf = F.udtf(ParsePython, returnType=SYMBOL)
+    return files.lateralJoin(udtf(F.col(text).outer())).select(key, *SYMBOL.fieldNames())

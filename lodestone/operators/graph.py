@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.session import materialize
@@ -27,6 +27,7 @@ def bfs(edges: DataFrame, starts: DataFrame, max_depth: int, reverse: bool = Fal
     """node, depth: smallest number of hops from any start (column node), up to ``max_depth``."""
     a, b = ("dst", "src") if reverse else ("src", "dst")
     e = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    e = materialize(e, "bfs-edges") if cut else e  # else every hop computes the edges again
     seen = starts.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for d in range(1, max_depth + 1):
@@ -88,11 +89,21 @@ def symbols_to_chunks(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
     return j.groupBy(F.col("s.id").alias("id")).agg(F.min_by(F.col("c.chunk_id"), F.struct(F.col("c.end_line") - F.col("c.start_line"), F.col("c.chunk_id"))).alias("chunk_id"))
 
 
+def normal_path(path: Column) -> Column:
+    """A path without . and .. segments; .. at the root is dropped."""
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x))))
+    return F.array_join(kept, "/")
+
+
 def resolve_imports(imports: DataFrame, manifest: DataFrame, extensions=(".ts", ".tsx", ".js", ".jsx", ".py")) -> DataFrame:
     """(importer, module, resolved): the first existing candidate path; external modules go to node_modules/<first segment>."""
-    base = F.when(F.col("module").startswith("."), F.concat(F.regexp_extract("importer", "^(.*/)?[^/]*$", 1), F.regexp_replace("module", r"^\./", ""))).otherwise(F.col("module"))
+    folder = F.regexp_extract("importer", "^(.*/)?[^/]*$", 1)
+    base = F.when(F.col("module").startswith("."), normal_path(F.concat(folder, "module"))).otherwise(F.col("module"))
     tails = ["", *extensions, *(f"/index{x}" for x in extensions)]
     candidates = imports.select("importer", "module", F.posexplode(F.array(*(F.concat(base, F.lit(t)) for t in tails))).alias("pos", "path"))
     found = candidates.join(manifest.select("path"), "path").groupBy("importer", "module").agg(F.min_by("path", "pos").alias("resolved"))
     external = F.concat(F.lit("node_modules/"), F.split("module", "/")[0])
-    return imports.select("importer", "module").distinct().join(found, ["importer", "module"], "left").select("importer", "module", F.coalesce("resolved", F.when(~F.col("module").startswith("."), external)).alias("resolved"))
+    own = imports.select("importer", "module").distinct().join(found, ["importer", "module"], "left")
+    return own.select("importer", "module", F.coalesce("resolved", F.when(~F.col("module").startswith("."), external)).alias("resolved"))

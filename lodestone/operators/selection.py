@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import contextlib
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,28 +19,82 @@ def prefix_stop(rows: DataFrame, group: list[str], order: list, size: str, budge
     return rows.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
 
 
-def prefix_skip(rows: DataFrame, group: list[str], order: list, size: str, budget: float, most: int = 10_000) -> DataFrame:
-    """Rows of every group, in order, that still fit after those taken; candidates of a group are bounded by ``most`` (the best by order)."""
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= most)
-    item = F.struct("rank", F.col(size).cast("double").alias("size"))
-    zero = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<int>").alias("taken"))
-    fold = F.aggregate(F.array_sort(F.collect_list(item)), zero, lambda acc, x: F.when(acc["used"] + x["size"] <= budget, F.struct((acc["used"] + x["size"]).alias("used"), F.concat(acc["taken"], F.array(x["rank"])).alias("taken"))).otherwise(acc))
-    taken = ranked.groupBy(*group).agg(fold.alias("f")).select(*group, F.explode("f.taken").alias("rank"))
-    return ranked.join(taken, [*group, "rank"])
+def prefix_skip(rows: DataFrame, group: list[str], order: list, size: str, budget: float) -> DataFrame:
+    """Rows of every group, in order, that still fit after those taken (with their rank); sizes are not negative.
+
+    Each pass drops what no longer fits, then takes the longest run that does; a group ends when nothing is left.
+    """
+    w = Window.partitionBy(*group).orderBy("rank")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    left, taken = ranked.withColumn("used_", F.lit(0.0)), None
+    while True:
+        left = left.where(F.col("used_") + F.col(size) <= budget).withColumn("after_", F.col("used_") + F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        left = materialize(left.withColumn("now_", F.col("after_") <= budget), "prefix-skip")
+        if left.isEmpty():
+            return (ranked.limit(0) if taken is None else taken).drop("used_")
+        fits = left.where("now_").drop("now_", "after_", "used_")
+        taken = fits if taken is None else taken.unionByName(fits)
+        used = F.max(F.when(F.col("now_"), F.col("after_"))).over(Window.partitionBy(*group))
+        left = left.withColumn("used_", used).where("not now_").drop("now_", "after_")
+
+
+#: Name -> weight of relevance, token budget, cushion, similarity, least share of critical rows.
+PRESET_VALUES = {
+    "balanced": (0.7, 100_000, 0.20, "semantic", 0.95),
+    "high-relevance": (0.9, 100_000, 0.15, "cosine", 0.98),
+    "high-diversity": (0.4, 120_000, 0.25, "semantic", 0.85),
+    "memory-conservative": (0.8, 50_000, 0.30, "jaccard", 0.90),
+    "enterprise": (0.6, 200_000, 0.15, "semantic", 0.95),
+}
+METRICS = ("cosine", "jaccard", "semantic")
 
 
 @dataclass(frozen=True)
 class Preset:
-    """Weights of a selection; lambda is the weight of relevance."""
+    """Weights of a selection; lambda is the weight of relevance. ``diversity`` compares with the least (reference) or most (classic) similar taken row."""
 
     lam: float = 0.7
     budget: int = 100_000
     cushion: float = 0.2
     diversity: str = "reference"
+    metric: str = "cosine"
+    coverage: float = 0.95
+
 
+PRESETS = {name: Preset(lam, budget, cushion, "reference", metric, coverage) for name, (lam, budget, cushion, metric, coverage) in PRESET_VALUES.items()}
 
-#: The five presets.
-PRESETS = {"balanced": Preset(), "high-relevance": Preset(0.9), "high-diversity": Preset(0.3), "memory-conservative": Preset(0.7, 50_000, 0.3), "enterprise": Preset(0.6, 200_000, 0.1)}
+
+def validated(values: dict, base: Preset = PRESETS["balanced"]) -> Preset:
+    """A preset from settings; a value of the wrong type or out of range falls back to ``base``."""
+    ranges = {"lam": (0, 1), "budget": (10_000, 500_000), "cushion": (0, 0.5), "coverage": (0, 1)}
+    good = {}
+    for name, (low, high) in ranges.items():
+        x = values.get(name)
+        if isinstance(x, int | float) and not isinstance(x, bool) and low <= x <= high:
+            good[name] = x
+    if values.get("metric") in METRICS:
+        good["metric"] = values["metric"]
+    return replace(base, **good)
+
+
+def from_environment(env: dict[str, str], base: Preset = PRESETS["balanced"]) -> Preset:
+    """``base`` with overrides from LODESTONE_MMR_PRESET, _LAMBDA, _BUDGET, _CUSHION, _METRIC and _COVERAGE."""
+    start = PRESETS.get(env.get("LODESTONE_MMR_PRESET", ""), base)
+    values: dict = {"metric": env.get("LODESTONE_MMR_METRIC")}
+    for name, key in (("lam", "LAMBDA"), ("budget", "BUDGET"), ("cushion", "CUSHION"), ("coverage", "COVERAGE")):
+        with contextlib.suppress(KeyError, ValueError):
+            values[name] = float(env[f"LODESTONE_MMR_{key}"])
+    if "budget" in values:
+        values["budget"] = int(values["budget"])
+    return validated(values, start)
+
+
+def describe(p: Preset) -> list[str]:
+    """Name of the preset that ``p`` equals (or custom), and what its values imply."""
+    name = next((k for k, x in PRESETS.items() if x == p), "custom")
+    lean = "relevance" if p.lam > 0.7 else "diversity" if p.lam < 0.5 else "both"
+    size = "small" if p.budget < 75_000 else "large" if p.budget > 150_000 else "usual"
+    return [f"preset: {name}", f"favours: {lean}", f"budget: {size}, {int(p.budget * (1 - p.cushion))} tokens after the cushion", f"similarity: {p.metric}"]
 
 
 def _take_critical(rows: DataFrame, p: Preset) -> DataFrame:
@@ -98,12 +153,6 @@ def mmr_select(candidates: DataFrame, k: int, preset: Preset = PRESETS["balanced
 
 
 def diversity(vectors: DataFrame, id_col: str, vec: str) -> DataFrame:
-    """1 - mean pairwise cosine of a bounded selection."""
-    a, b = vectors.select(F.col(id_col).alias("a"), F.col(vec).alias("x")), vectors.select(F.col(id_col).alias("b"), F.col(vec).alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).agg((1 - F.avg(cosine("x", "y"))).alias("diversity"))
-
-
-def diversity_all(vectors: DataFrame, id_col: str, vec: str) -> DataFrame:
     """1 - mean cosine of all pairs with different ids, from sums of unit vectors: no pair is formed."""
     n = norm(F.col("v"))
     v = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), as_double(vec).alias("v")).withColumn("n", n)

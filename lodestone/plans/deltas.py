@@ -63,19 +63,14 @@ def orphans(spark, sf_dir):
     return load(spark, sf_dir, "labels").select("doc_id").join(docs, "doc_id", "left_anti")
 
 
-@query("WITH s AS (SELECT count(*) AS chunks, count(DISTINCT source) AS files, sum(CASE WHEN text IS NULL OR text = '' THEN 1 ELSE 0 END) AS empty, count(*) - count(DISTINCT doc_id) AS dup_ids, count(*) - count(DISTINCT text) AS dup_texts FROM documents), l AS (SELECT count(*) AS labelled FROM labels) SELECT * FROM (SELECT 'corruption' AS kind, 'duplicate_ids' AS rule, CASE WHEN dup_ids > 0 THEN 'critical' ELSE 'ok' END AS severity, CAST(dup_ids AS BIGINT) AS affected FROM s UNION ALL SELECT 'corruption', 'empty_content', CASE WHEN empty > 0.05 * chunks THEN 'critical' WHEN empty > 0 THEN 'medium' ELSE 'ok' END, CAST(empty AS BIGINT) FROM s UNION ALL SELECT 'redundancy', 'duplicate_content', CASE WHEN dup_texts > 0.05 * chunks THEN 'high' WHEN dup_texts > 0 THEN 'medium' ELSE 'ok' END, CAST(dup_texts AS BIGINT) FROM s UNION ALL SELECT 'coverage', 'unlabelled', CASE WHEN labelled < 0.8 * chunks THEN 'medium' ELSE 'ok' END, CAST(chunks - labelled AS BIGINT) FROM s, l)")
-def health_rules(spark, sf_dir):
-    """IDX-5 to IDX-9, AGG-26: rule hits with severities from one aggregate."""
-    d, l = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
-    s = d.agg(F.count("*").alias("chunks"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("empty"), (F.count("*") - F.countDistinct("doc_id")).alias("dup_ids"), (F.count("*") - F.countDistinct("text")).alias("dup_texts")).join(l.agg(F.count("*").alias("labelled")))
-    c = F.col
-    rules = [
-        ("corruption", "duplicate_ids", F.when(c("dup_ids") > 0, "critical").otherwise("ok"), c("dup_ids")),
-        ("corruption", "empty_content", F.when(c("empty") > c("chunks") * 0.05, "critical").when(c("empty") > 0, "medium").otherwise("ok"), c("empty")),
-        ("redundancy", "duplicate_content", F.when(c("dup_texts") > c("chunks") * 0.05, "high").when(c("dup_texts") > 0, "medium").otherwise("ok"), c("dup_texts")),
-        ("coverage", "unlabelled", F.when(c("labelled") < c("chunks") * 0.8, "medium").otherwise("ok"), c("chunks") - c("labelled")),
-    ]
-    return s.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(r).alias("rule"), v.alias("severity"), a.alias("affected")) for k, r, v, a in rules))).alias("r")).select("r.*")
+@query("SELECT count(*) AS chunks, count(DISTINCT source) AS files, CAST(sum(CASE WHEN text IS NULL OR text = '' THEN 1 ELSE 0 END) AS BIGINT) AS empty, count(*) - count(DISTINCT doc_id) AS same_ids, count(text) - count(DISTINCT text) AS same_texts FROM documents")
+def index_stats(spark, sf_dir):
+    """AGG-26: texts are compared by 256-bit digests, so none is shuffled."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"), F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    n = d.agg(F.count("*").alias("chunks"), F.count_if(F.col("size") == 0).alias("empty"), F.count("h").alias("texts"))
+    distinct = lambda c: d.groupBy(c).agg(F.lit(1)).agg(F.count(c).alias(f"n_{c}"))
+    row = n.join(distinct("source")).join(distinct("doc_id")).join(distinct("h"))
+    return row.select("chunks", F.col("n_source").alias("files"), "empty", (F.col("chunks") - F.col("n_doc_id")).alias("same_ids"), (F.col("texts") - F.col("n_h")).alias("same_texts"))
 
 
 @query("SELECT doc_id, class FROM (SELECT doc_id, class, row_number() OVER (PARTITION BY doc_id ORDER BY class) AS r FROM (SELECT doc_id, 1 AS class FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 2 FROM labels WHERE quality = 0 UNION ALL SELECT doc_id, 3 FROM documents WHERE lang = 'fr')) WHERE r = 1")

@@ -30,16 +30,9 @@ def _flow(spark, sf_dir):
     return n.select("src", "dst", F.lit("data_flow").alias("type"), "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("src")), 6).alias("strength"))
 
 
-@query("WITH c AS (SELECT l_partkey AS file, l_orderkey AS commit, l_shipdate AS ts FROM lineitem WHERE l_partkey <= 200), r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ts DESC, commit DESC) AS n FROM (SELECT DISTINCT file, commit, ts FROM c)) SELECT r.file, o.file AS other, count(DISTINCT r.commit) AS shared FROM r JOIN (SELECT DISTINCT file, commit FROM c) o ON r.commit = o.commit AND r.file <> o.file WHERE r.n <= 10 GROUP BY r.file, o.file")
-def co_change_pairs(spark, sf_dir):
-    """JOIN-5, WIN-1: parts that share orders, over each part's last ten."""
-    c = load(spark, sf_dir, "lineitem").where("l_partkey <= 200").select(F.col("l_partkey").alias("file"), F.col("l_orderkey").alias("commit"), F.col("l_shipdate").alias("ts"))
-    return graph.co_changes(c)
-
-
 @query(f"WITH e AS ({_EDGES}), seeds AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_nationkey = 3) SELECT DISTINCT e.dst AS node FROM e JOIN seeds ON e.src = seeds.node WHERE e.type = 'calls' AND e.strength >= 0.5")
 def expand_one_hop(spark, sf_dir):
-    """JOIN-1, 2, 4, FILT-7, GRAPH-12."""
+    """FILT-7 and one hop of GRAPH-12 (the joins JOIN-1, 2 and 4 are in code_expansion)."""
     seeds = load(spark, sf_dir, "supplier").where("s_nationkey = 3").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("src"))
     e = graph.traversable(_edges(spark, sf_dir), ("calls",), 0.5)
     return e.join(seeds, "src", "left_semi").select(F.col("dst").alias("node")).distinct()
@@ -69,25 +62,13 @@ def bfs_depth2(spark, sf_dir):
     """GRAPH-3: nodes within two hops of a supplier, both directions."""
     e = _edges(spark, sf_dir).where("strength >= 0.8").select("src", "dst")
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return graph.bfs(both, spark.createDataFrame([("s1",)], "node string"), 2)
+    return graph.bfs(both, spark.createDataFrame([("s1",)], "node string"), 2, cut=True)
 
 
 @query(f"WITH e AS (SELECT DISTINCT src, dst FROM ({_FLOW}) WHERE strength >= 0.15), d0 AS (SELECT 'purchase' AS node, 0 AS depth), d1 AS (SELECT DISTINCT src AS node, 1 AS depth FROM e WHERE dst = 'purchase' AND src <> 'purchase'), d2 AS (SELECT DISTINCT e.src AS node, 2 AS depth FROM d1 JOIN e ON e.dst = d1.node WHERE e.src NOT IN (SELECT node FROM d0 UNION ALL SELECT node FROM d1)) SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2")
 def callers_depth2(spark, sf_dir):
     """GRAPH-4: what leads to a purchase, on reversed edges."""
-    return graph.bfs(_flow(spark, sf_dir).where("strength >= 0.15"), spark.createDataFrame([("purchase",)], "node string"), 2, reverse=True)
-
-
-_TREE = "t AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer WHERE c_custkey <= 300 UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders WHERE o_custkey <= 300)"
-
-
-@query(f"WITH RECURSIVE {_TREE}, w(root, node, depth) AS (SELECT src, dst, 1 FROM t WHERE src LIKE 'r%' UNION ALL SELECT w.root, t.dst, w.depth + 1 FROM w JOIN t ON t.src = w.node WHERE w.depth < 4) SELECT root, depth, count(DISTINCT node) AS nodes FROM w GROUP BY ALL")
-def transitive_deps(spark, sf_dir):
-    """GRAPH-5: dependents of every region by level, through nations and customers to orders."""
-    n, c, o = (load(spark, sf_dir, x) for x in ("nation", "customer", "orders"))
-    tag = lambda letter, col: F.concat(F.lit(letter), F.col(col).cast("string"))
-    n.select(tag("r", "n_regionkey").alias("src"), tag("n", "n_nationkey").alias("dst")).unionByName(c.where("c_custkey <= 300").select(tag("n", "c_nationkey").alias("src"), tag("c", "c_custkey").alias("dst"))).unionByName(o.where("o_custkey <= 300").select(tag("c", "o_custkey").alias("src"), tag("o", "o_orderkey").alias("dst"))).createOrReplaceTempView("tree_edges_")
-    return spark.sql("WITH RECURSIVE w(root, node, depth) AS (SELECT src, dst, 1 FROM tree_edges_ WHERE src LIKE 'r%' UNION ALL SELECT w.root, t.dst, w.depth + 1 FROM w JOIN tree_edges_ t ON t.src = w.node WHERE w.depth < 4) SELECT root, depth, count(DISTINCT node) AS nodes FROM w GROUP BY root, depth")
+    return graph.bfs(_flow(spark, sf_dir).where("strength >= 0.15"), spark.createDataFrame([("purchase",)], "node string"), 2, reverse=True, cut=True)
 
 
 _PATHS = f"WITH RECURSIVE e AS ({_FLOW}), w(path, strengths, node, depth) AS (SELECT [src, dst], [strength], dst, 1 FROM e WHERE src = 'signup' UNION ALL SELECT list_append(w.path, e.dst), list_append(w.strengths, e.strength), e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3 AND NOT list_contains(w.path, e.dst))"
@@ -100,7 +81,7 @@ def simple_paths(spark, sf_dir):
     return p.select(F.array_join("path", " -> ").alias("path"), "depth")
 
 
-@query(f"{_PATHS} SELECT path, depth, path_type, score FROM (SELECT array_to_string(path, ' -> ') AS path, depth, 'data_flow' AS path_type, round(CASE depth WHEN 1 THEN strengths[1] WHEN 2 THEN (strengths[1] + strengths[2]) / 2 ELSE (strengths[1] + (strengths[2] + strengths[3]) / 2) / 2 END, 6) AS score FROM w) ORDER BY score DESC, path LIMIT 20")
+@query(f"{_PATHS} SELECT path, depth, path_type, score FROM (SELECT array_to_string(path, ' -> ') AS path, depth, 'data_flow_chain' AS path_type, round(CASE depth WHEN 1 THEN strengths[1] WHEN 2 THEN (strengths[1] + strengths[2]) / 2 ELSE (strengths[1] + (strengths[2] + strengths[3]) / 2) / 2 END, 6) AS score FROM w) ORDER BY score DESC, path LIMIT 20")
 def path_scores_topk(spark, sf_dir):
     """MATH-6, SORT-7, SCALAR-32, AGG-6: the strongest paths by the folded mean."""
     p = graph.paths(_flow(spark, sf_dir), spark.createDataFrame([("signup",)], "node string"), 3)
@@ -116,7 +97,7 @@ def cycles(spark, sf_dir):
 
 @query(f"{_PATHS} SELECT CAST(max(depth) AS INTEGER) AS longest, count(*) AS paths FROM w")
 def longest_depth(spark, sf_dir):
-    """GRAPH-7 under a bound of three."""
+    """GRAPH-7 for paths of up to three edges."""
     return graph.paths(_flow(spark, sf_dir), spark.createDataFrame([("signup",)], "node string"), 3).agg(F.max("depth").alias("longest"), F.count("*").alias("paths"))
 
 
@@ -132,23 +113,16 @@ def edge_statistics(spark, sf_dir):
     return _edges(spark, sf_dir).groupBy("type").agg(F.count("*").alias("edges"), F.sum("frequency").alias("uses"), F.round(F.avg("strength"), 6).alias("mean_strength"), F.countDistinct("src").alias("sources"))
 
 
-@query("WITH l AS (SELECT l_suppkey AS a, l_partkey AS b, l_returnflag AS type, count(*) AS n FROM lineitem GROUP BY ALL) SELECT sha256(a || '|' || type || '|' || n) AS relation, count(*) AS copies FROM l GROUP BY 1 HAVING count(*) > 1")
+@query("WITH l AS (SELECT l_suppkey AS a, l_partkey % 50 AS b, l_returnflag AS type, count(*) AS n FROM lineitem GROUP BY l_suppkey, l_partkey, l_returnflag) SELECT sha256(a || '|' || b || '|' || type || '|' || n) AS relation, count(*) AS copies FROM l GROUP BY 1 HAVING count(*) > 1")
 def duplicate_relationships(spark, sf_dir):
-    """AGG-15, IDX-13: edges of equal endpoint, type and metadata."""
-    l = load(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey", "l_returnflag").agg(F.count("*").alias("n"))
-    return l.groupBy(F.sha2(F.concat_ws("|", "l_suppkey", "l_returnflag", "n"), 256).alias("relation")).agg(F.count("*").alias("copies")).where("copies > 1")
-
-
-@query("SELECT o.o_orderkey, min(c.c_mktsegment) AS span, count(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey AND l.l_shipdate BETWEEN o.o_orderdate AND o.o_orderdate + INTERVAL 30 DAY JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderkey % 10 = 0 GROUP BY o.o_orderkey")
-def range_join_lines(spark, sf_dir):
-    """JOIN-20, JOIN-26: equi join with a residual range, then a lookup join."""
-    l, o, c = (load(spark, sf_dir, x) for x in ("lineitem", "orders", "customer"))
-    j = l.join(o.where("o_orderkey % 10 = 0"), (l["l_orderkey"] == o["o_orderkey"]) & (l["l_shipdate"] >= o["o_orderdate"]) & (l["l_shipdate"] <= o["o_orderdate"] + F.expr("INTERVAL 30 DAYS")))
-    return j.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("o_orderkey").agg(F.min("c_mktsegment").alias("span"), F.count("*").alias("n"))
+    """AGG-15, IDX-13: edges with both endpoints, type and metadata equal (targets are groups of parts, so that there are some)."""
+    n = load(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey", "l_returnflag").agg(F.count("*").alias("n"))
+    key = F.sha2(F.concat_ws("|", "l_suppkey", F.col("l_partkey") % 50, "l_returnflag", "n"), 256)
+    return n.groupBy(key.alias("relation")).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
 @query("WITH c AS (SELECT l_partkey AS file, l_orderkey AS commit, l_shipdate AS ts FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ts DESC, commit DESC) AS n FROM (SELECT DISTINCT file, commit, ts FROM c)) SELECT r.file, o.file AS other, count(DISTINCT r.commit) AS shared FROM r JOIN (SELECT DISTINCT file, commit FROM c) o ON r.commit = o.commit AND r.file <> o.file WHERE r.n <= 10 GROUP BY r.file, o.file")
-def co_change_pairs_all(spark, sf_dir):
+def co_change_pairs(spark, sf_dir):
     """JOIN-5, WIN-1 over all parts and orders."""
     return graph.co_changes(load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("file"), F.col("l_orderkey").alias("commit"), F.col("l_shipdate").alias("ts")))
 
@@ -157,7 +131,7 @@ _TREE_ALL = "t AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst F
 
 
 @query(f"WITH RECURSIVE {_TREE_ALL}, w(root, node, depth) AS (SELECT src, dst, 1 FROM t WHERE src LIKE 'r%' UNION ALL SELECT w.root, t.dst, w.depth + 1 FROM w JOIN t ON t.src = w.node WHERE w.depth < 4) SELECT root, depth, count(DISTINCT node) AS nodes FROM w GROUP BY ALL")
-def transitive_deps_all(spark, sf_dir):
+def transitive_deps(spark, sf_dir):
     """GRAPH-5 over all customers and orders; one join a level, since Spark's recursion stops at a number of rows."""
     n, c, o = (load(spark, sf_dir, x) for x in ("nation", "customer", "orders"))
     edge = lambda t, p, a, q, b: t.select(F.concat(F.lit(p), F.col(a).cast("string")).alias("src"), F.concat(F.lit(q), F.col(b).cast("string")).alias("dst"))
@@ -172,8 +146,8 @@ def transitive_deps_all(spark, sf_dir):
 
 
 @query("SELECT o.o_orderkey, min(c.c_mktsegment) AS span, count(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey AND l.l_shipdate BETWEEN o.o_orderdate AND o.o_orderdate + INTERVAL 30 DAY JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY o.o_orderkey")
-def range_join_lines_all(spark, sf_dir):
-    """JOIN-20, JOIN-26 over all orders."""
+def range_join_lines(spark, sf_dir):
+    """JOIN-26 (lookup) after an equi join with a residual range, over all orders."""
     l, o, c = (load(spark, sf_dir, x) for x in ("lineitem", "orders", "customer"))
     j = l.join(o, (l["l_orderkey"] == o["o_orderkey"]) & (l["l_shipdate"] >= o["o_orderdate"]) & (l["l_shipdate"] <= o["o_orderdate"] + F.expr("INTERVAL 30 DAYS")))
     return j.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("o_orderkey").agg(F.min("c_mktsegment").alias("span"), F.count("*").alias("n"))

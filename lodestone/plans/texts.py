@@ -61,10 +61,7 @@ def extract_imports(spark, sf_dir):
     return c.groupBy("module").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
 
 
-_BRANCH = ", ".join(f"'{w}'" for w in t.BRANCH_WORDS)
-
-
-@query(f"SELECT doc_id, CAST(1 + len(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_]+'), lambda x: x IN ({_BRANCH}))) + (length(text) - length(replace(text, '&&', ''))) // 2 + (length(text) - length(replace(text, '||', ''))) // 2 + (length(text) - length(replace(text, '?', ''))) AS INTEGER) AS complexity FROM documents")
+@query("SELECT doc_id, CAST(1 + len(regexp_extract_all(text, '\\b(?:if|else|elif|while|for|switch|case|try|catch|except)\\b')) + (length(text) - length(replace(text, '&&', ''))) // 2 + (length(text) - length(replace(text, '||', ''))) // 2 + (length(text) - length(replace(text, '?', ''))) AS INTEGER) AS complexity FROM documents")
 def complexity_score(spark, sf_dir):
     """SCALAR-4."""
     return load(spark, sf_dir, "documents").select("doc_id", t.complexity(F.col("text")).alias("complexity"))
@@ -83,31 +80,16 @@ def token_estimates(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", t.tokens_by_length(x).alias("by_length"), t.tokens_by_structure(x).alias("by_structure"), t.tokens_by_span(F.lit(1), F.size(F.split(x, "\n")), 5).alias("by_span"))
 
 
-def _importance(df):
-    """SCALAR-18 to 23 as columns over documents."""
-    x, lines = F.col("text"), F.size(F.split("text", "\n"))
-    score = F.least(F.lit(100), F.when(x.contains("{"), 15).otherwise(0) + F.when(F.lower(x).contains("license"), 20).otherwise(0) + F.least(F.lit(40), lines * 4) + F.when(F.length(x) > 2000, 25).otherwise(5))
-    return df.withColumn("importance", score.cast("long")).withColumn("band", t.band(F.col("importance")))
-
-
-_IMPORTANCE = "least(100, CASE WHEN contains(text, '{') THEN 15 ELSE 0 END + CASE WHEN contains(lower(text), 'license') THEN 20 ELSE 0 END + least(40, len(string_split(text, chr(10))) * 4) + CASE WHEN length(text) > 2000 THEN 25 ELSE 5 END)"
-_BAND = "CASE WHEN importance >= 80 THEN 'critical' WHEN importance >= 65 THEN 'high' WHEN importance >= 40 THEN 'medium' WHEN importance >= 20 THEN 'low' ELSE 'skip' END"
-
-
-@query(f"SELECT doc_id, importance, {_BAND} AS band FROM (SELECT doc_id, CAST({_IMPORTANCE} AS BIGINT) AS importance FROM documents)")
-def content_importance(spark, sf_dir):
-    """SCALAR-23, FILT-13."""
-    return _importance(load(spark, sf_dir, "documents")).select("doc_id", "importance", "band")
+_QUERY_LABELS = r"""
+SELECT conv_id, turn,
+  round(least(1.0, least(1.0, length(text) / 200.0) + least(0.3, n / 20.0) + CASE WHEN regexp_matches(low, '\b(class|function|import|export|async|await|error|bug|fix)\b') THEN 0.2 ELSE 0 END), 6)::DOUBLE AS score,
+  CASE WHEN n > 10 OR regexp_matches(low, '\b(implement|understand|analyze|debug|refactor|architecture)\b') THEN 'complex' WHEN n > 5 THEN 'medium' ELSE 'simple' END AS label,
+  CASE WHEN regexp_matches(low, '\b(debug|error|fix|bug|issue)\b') THEN 'high-relevance' WHEN regexp_matches(low, '\b(understand|learn|explore|architecture|overview)\b') THEN 'high-diversity' ELSE 'balanced' END AS preset
+FROM (SELECT *, lower(text) AS low, len(regexp_split_to_array(text, '[ \t\n\r\f]+')) AS n FROM conversations WHERE role = 'user')
+"""
 
 
-@query(f"WITH d AS (SELECT *, {_BAND} AS band FROM (SELECT lang, CAST({_IMPORTANCE} AS BIGINT) AS importance FROM documents)) SELECT band, lang, count(*) AS n, round(avg(importance), 6) AS mean_importance, CAST(sum(CASE WHEN band <> 'skip' THEN 1 ELSE 0 END) AS BIGINT) AS indexed FROM d GROUP BY GROUPING SETS ((band), (lang), ())")
-def importance_distribution(spark, sf_dir):
-    """AGG-12, AGG-13: one pass with grouping sets."""
-    d = _importance(load(spark, sf_dir, "documents"))
-    return d.groupingSets([["band"], ["lang"], []], "band", "lang").agg(F.count("*").alias("n"), F.round(F.avg("importance"), 6).alias("mean_importance"), F.count_if(F.col("band") != "skip").alias("indexed"))
-
-
-@query("SELECT conv_id, turn, round(least(1.0, least(1.0, length(text) / 200.0) + least(0.3, n / 20.0) + CASE WHEN regexp_matches(lower(text), 'function|class|method|api|database|algorithm|async|interface') THEN 0.2 ELSE 0 END), 6)::DOUBLE AS score, CASE WHEN n > 10 OR regexp_matches(lower(text), 'relationship|dependency|architecture') THEN 'complex' WHEN n > 5 THEN 'medium' ELSE 'simple' END AS label, CASE WHEN regexp_matches(lower(text), 'debug|error|bug|fix') THEN 'high-relevance' WHEN regexp_matches(lower(text), 'explore|overview|understand') THEN 'high-diversity' ELSE 'balanced' END AS preset FROM (SELECT *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM conversations WHERE role = 'user')")
+@query(_QUERY_LABELS)
 def query_labels(spark, sf_dir):
     """SCALAR-25, 26, 27 on user turns."""
     x = F.col("text")
@@ -122,11 +104,21 @@ def paged_text(spark, sf_dir):
     return p.select("doc_id", "page", F.length("part").cast("long").alias("n_chars"))
 
 
-@query("SELECT page_id, url, lower(regexp_extract(url, '(\\.[^./]*)$', 1)) AS ext, substr(sha256(url), 1, 12) AS path_hash FROM pages WHERE NOT contains(url, 'node_modules') AND NOT contains(url, 'dist')")
+#: Paths of pages: the url's, with an extension by page number, and some in folders that are skipped.
+_PATH_SQL = "CASE page_id % 11 WHEN 3 THEN 'node_modules/' WHEN 7 THEN 'x/coverage/' ELSE '' END || regexp_replace(url, '^[a-z]+://', '') || list_value('.ts', '.md', '.HTML', '.exe', '.scss', '.rb', '.py')[page_id % 7 + 1]"
+
+
+def _paths(df):
+    ext = F.element_at(F.array(*(F.lit(x) for x in (".ts", ".md", ".HTML", ".exe", ".scss", ".rb", ".py"))), (F.col("page_id") % 7 + 1).cast("int"))
+    folder = F.when(F.col("page_id") % 11 == 3, "node_modules/").when(F.col("page_id") % 11 == 7, "x/coverage/").otherwise("")
+    return df.withColumn("path", F.concat(folder, F.regexp_replace("url", "^[a-z]+://", ""), ext))
+
+
+@query(f"SELECT page_id, ext, ext IN ('.js', '.jsx', '.ts', '.tsx', '.py', '.go', '.rs', '.java', '.cpp', '.c', '.h') AS is_code, substr(sha256(path), 1, 12) AS path_hash FROM (SELECT page_id, path, lower(regexp_extract(path, '(\\.[^./]*)$', 1)) AS ext FROM (SELECT page_id, {_PATH_SQL} AS path FROM pages)) WHERE NOT regexp_matches(path, 'node_modules|\\.git|dist|build|coverage|\\.next|\\.cache') AND ext IN ('.js', '.jsx', '.ts', '.tsx', '.py', '.go', '.rs', '.java', '.cpp', '.c', '.h', '.hpp', '.md', '.rst', '.txt', '.json', '.yaml', '.yml', '.toml', '.html', '.css', '.scss')")
 def relevant_files(spark, sf_dir):
-    """FILT-1, SCALAR-29 with url as path."""
-    p = load(spark, sf_dir, "pages").where(~F.col("url").contains("node_modules") & ~F.col("url").contains("dist"))
-    return p.select("page_id", "url", t.extension(F.col("url")).alias("ext"), t.path_hash(F.col("url")).alias("path_hash"))
+    """FILT-1, FILT-2, SCALAR-29 over the paths of pages."""
+    p = _paths(load(spark, sf_dir, "pages").select("page_id", "url")).where(t.is_relevant(F.col("path")))
+    return p.select("page_id", t.extension(F.col("path")).alias("ext"), t.is_code(F.col("path")).alias("is_code"), t.path_hash(F.col("path")).alias("path_hash"))
 
 
 @query("SELECT doc_id, concat_ws(' ', 'doc_' || doc_id, 'documentation', substr(text, 1, 80), source) AS embedding_text, sha256(concat_ws(' ', 'doc_' || doc_id, 'documentation', text, source)) AS digest FROM documents")

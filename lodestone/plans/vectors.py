@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.scores import jaccard
 from lodestone.functions.text import words
 from lodestone.functions.vector import as_double, cosine, is_finite, norm
-from lodestone.operators.selection import diversity, diversity_all, mmr_select, top_jaccard
+from lodestone.operators.selection import diversity, mmr_select, top_jaccard
 from lodestone.plans.registry import query
 from lodestone.session import load
 
@@ -57,10 +56,10 @@ def vector_norms_invalid(spark, sf_dir):
     return v.join(F.broadcast(dim)).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(norm("embedding")), 6).alias("mean_norm"), F.sum(bad.cast("long")).alias("invalid"))
 
 
-@query(f"SELECT round(1 - avg({_COS}), 6) AS diversity FROM embeddings a, embeddings b WHERE a.vec_id < 50 AND b.vec_id < 50 AND a.vec_id < b.vec_id")
+@query(f"SELECT round(1 - avg({_COS}), 6) AS diversity FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id")
 def pairwise_diversity(spark, sf_dir):
-    """JOIN-27, AGG-30 over a bounded selection of fifty."""
-    return diversity(load(spark, sf_dir, "embeddings").where("vec_id < 50"), "vec_id", "embedding").select(F.round("diversity", 6).alias("diversity"))
+    """JOIN-27, AGG-30 over all vectors, without forming pairs."""
+    return diversity(load(spark, sf_dir, "embeddings"), "vec_id", "embedding").select(F.round("diversity", 6).alias("diversity"))
 
 
 @query("SELECT count(*) AS groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates, CAST(coalesce(sum((n - 1) * dim * 4), 0) AS BIGINT) AS bytes FROM (SELECT embedding, count(*) AS n, len(embedding) AS dim FROM embeddings GROUP BY embedding HAVING count(*) > 1)")
@@ -72,28 +71,14 @@ def duplicate_vectors(spark, sf_dir):
 
 @query()
 def mmr_selection(spark, sf_dir):
-    """MMR-1 to MMR-5: critical rows first, then greedy selection under a token budget; one group per label."""
+    """MMR-1 (its budget), MMR-2 to MMR-4 with cosine: critical rows first, then greedy selection under a token budget; one group per label."""
     v, d = load(spark, sf_dir, "embeddings"), load(spark, sf_dir, "documents")
     c = v.join(d, F.col("vec_id") == F.col("doc_id")).select(F.col("label").cast("long").alias("query_id"), F.col("vec_id").alias("id"), "embedding", (1 / (1 + F.col("vec_id") % 17)).alias("relevance"), F.ceil(F.length("text") / 4).alias("tokens"), (F.col("vec_id") % 50 == 0).alias("critical"))
     return mmr_select(c, 10)
 
 
-@query("WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '')) AS t FROM documents WHERE doc_id < 40) SELECT a.doc_id AS a, b.doc_id AS b, round(coalesce(len(list_intersect(a.t, b.t)) / nullif(len(list_distinct(list_concat(a.t, b.t))), 0), 0), 6) AS score FROM w a, w b WHERE a.doc_id < b.doc_id ORDER BY score DESC, a, b LIMIT 20")
-def jaccard_pairs(spark, sf_dir):
-    """MATH-2, SET-4 over a bounded selection (the diversity measure compares all selected pairs)."""
-    w = load(spark, sf_dir, "documents").where("doc_id < 40").select("doc_id", F.array_distinct(words(F.col("text"))).alias("t"))
-    a, b = w.select(F.col("doc_id").alias("a"), F.col("t").alias("x")), w.select(F.col("doc_id").alias("b"), F.col("t").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(jaccard(F.col("x"), F.col("y")), 6).alias("score")).orderBy(F.desc("score"), "a", "b").limit(20)
-
-
 @query()
-def pairwise_diversity_all(spark, sf_dir):
-    """JOIN-27, AGG-30 over all vectors, without forming pairs."""
-    return diversity_all(load(spark, sf_dir, "embeddings"), "vec_id", "embedding").select(F.round("diversity", 6).alias("diversity"))
-
-
-@query()
-def jaccard_pairs_all(spark, sf_dir):
-    """MATH-2, SET-4 over all documents: the twenty most similar pairs."""
+def jaccard_pairs(spark, sf_dir):
+    """MATH-2's token overlap, SET-4 over all documents: the twenty most similar pairs (no SQL: it would form all pairs)."""
     w = load(spark, sf_dir, "documents").select("doc_id", F.array_distinct(words(F.col("text"))).alias("t"))
     return top_jaccard(w, "doc_id", "t", 20).select("a", "b", "score").orderBy(F.desc("score"), "a", "b")
