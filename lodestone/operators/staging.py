@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import glob_regex
 
@@ -47,15 +49,28 @@ def freshness(stale: DataFrame, threshold: int = 50) -> DataFrame:
 
 
 def invalidation_runs(changes: DataFrame, key: str, order: str, weight: str, threshold: int = 50) -> DataFrame:
-    """Adds ``run``: the number of reindexes before a change, by ``key`` in ``order``.
+    """Adds ``run``, the number of reindexes before a change, and ``pending``, by ``key`` in ``order``.
 
     Stale chunks (``weight`` a change) add up since the last reindex; one
-    happens when they exceed the threshold, and clears them. The fold needs
-    every earlier row of its key, so a key is one window group; it runs in
-    the JVM with constant state.
+    happens when they exceed the threshold, and clears them. A key's rows pass
+    one task in order; the fold keeps two numbers, whatever their count.
     """
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    state = F.struct(F.lit(0).cast("long").alias("pending"), F.lit(0).cast("long").alias("runs"))
-    step = lambda a, x: F.when(a["pending"] + x > threshold, F.struct(F.lit(0).cast("long").alias("pending"), (a["runs"] + 1).alias("runs"))).otherwise(F.struct((a["pending"] + x).alias("pending"), a["runs"].alias("runs")))
-    folded = F.aggregate(F.collect_list(F.col(weight).cast("long")).over(w), state, step)
-    return changes.withColumn("s_", folded).withColumn("run", F.col("s_.runs")).withColumn("pending", F.col("s_.pending")).drop("s_")
+    schema = T.StructType([*changes.schema.fields, T.StructField("run", T.LongType()), T.StructField("pending", T.LongType())])
+
+    def fold(batches):
+        last, pending, runs, first = None, 0, 0, True
+        for batch in batches:
+            keys = batch.column(batch.schema.get_field_index(key)).to_pylist()
+            weights = batch.column(batch.schema.get_field_index(weight)).to_pylist()
+            out_runs, out_pending = [], []
+            for k, w in zip(keys, weights, strict=True):
+                if first or k != last:
+                    last, pending, runs, first = k, 0, 0, False
+                pending += int(w or 0)
+                if pending > threshold:
+                    pending, runs = 0, runs + 1
+                out_runs.append(runs)
+                out_pending.append(pending)
+            yield pa.record_batch([*batch.columns, pa.array(out_runs, pa.int64()), pa.array(out_pending, pa.int64())], names=[*batch.schema.names, "run", "pending"])
+
+    return changes.repartition(key).sortWithinPartitions(key, order).mapInArrow(fold, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +27,22 @@ def run_available(stream: DataFrame, sink, mode: str = "update") -> None:
 
 
 class VersionedTable:
-    """A table that a micro-batch replaces as a whole: versions are folders, the newest complete one counts."""
+    """A table that a micro-batch replaces as a whole: versions are folders, and a version counts once its mark is written.
 
-    def __init__(self, spark: SparkSession, label: str, schema):
-        self.spark, self.schema, self.version = spark, schema, -1
-        self.base = f"{shared_dir(spark)}/live/{label}-{uuid.uuid4().hex}"
+    With ``base`` the table is found again after a restart; a batch that is run again writes its version anew.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, schema, base: str | None = None):
+        self.spark, self.schema = spark, schema
+        self.base = base or f"{shared_dir(spark)}/live/{label}-{uuid.uuid4().hex}"
+        self.version = self._newest() if base else -1
+
+    def _newest(self) -> int:
+        try:
+            marks = self.spark.read.schema("version long").parquet(f"{self.base}/marks")
+            return marks.agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0]
+        except AnalysisException:  # nothing was written yet
+            return -1
 
     def read(self) -> DataFrame:
         if self.version < 0:
@@ -39,6 +51,7 @@ class VersionedTable:
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.base}/{version}")
+        self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{self.base}/marks")
         self.version = version
 
 
