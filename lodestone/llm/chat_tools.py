@@ -198,3 +198,51 @@ SELECT conv_id, turn, call_id, result_turn, row_number() OVER (PARTITION BY conv
        status, '' AS errors, CAST(canonical AS VARCHAR) AS canonical
 FROM linked
 """
+
+
+LOOKUP = (Tool("lookup", (("key", "string", True), ("limit", "integer", True))),)
+
+
+def lookup_messages(conversations: DataFrame) -> DataFrame:
+    """Conversations retold with explicit tool calls: identifiers that recur, chains of dependencies, cycles, bad arguments, missing results."""
+    k, t = F.col("conv_id"), F.col("turn")
+    ident = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
+    user = conversations.where(F.col("role") == "user").select("conv_id", "turn").distinct()
+    ends = user.groupBy("conv_id").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
+    limit = F.when(k % 5 == 1, F.lit('"x"')).otherwise(t.cast("string"))
+    parts = F.array_compact(F.array(F.when(k % 5 != 3, F.concat(F.lit('"key":"k'), t.cast("string"), F.lit('"'))), F.concat(F.lit('"limit":'), limit), F.when(k % 5 == 2, F.lit('"zeta":1'))))
+    needs = F.when((k % 7 == 3) & (t == F.col("first")), F.col("last")).otherwise(t - 2)
+    call = F.concat(F.lit('{"tool_calls":[{"id":"'), ident(t), F.lit('","name":"lookup","arguments":{'), F.array_join(F.reverse(parts), ","), F.lit('},"depends_on":["'), ident(needs), F.lit('"]}]}'))
+    calls = user.join(ends, "conv_id").select("conv_id", "turn", F.lit("assistant").alias("role"), call.alias("text"))
+    told = conversations.where((F.col("role") == "assistant") & ~((k % 3 == 2) & (t == 1)))
+    answer = F.to_json(F.struct(ident(t - 1).alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))
+    return calls.unionByName(told.select("conv_id", "turn", F.lit("tool").alias("role"), answer.alias("text")))
+
+
+def tool_call_graphs(spark, sf_dir: str) -> DataFrame:
+    """The operator on explicit calls, over all conversations."""
+    out = link(lookup_messages(load(spark, sf_dir, "conversations")), LOOKUP)
+    return out.select("conv_id", "turn", "call_id", "result_turn", "topo_order", "status", "errors", "canonical")
+
+
+GRAPHS_SQL = """
+WITH RECURSIVE u AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user'),
+n AS (SELECT conv_id, min(turn) AS first, max(turn) AS last FROM u GROUP BY 1),
+c AS (SELECT u.conv_id, turn, 'call_' || turn AS call_id, 'call_' || CASE WHEN u.conv_id % 7 = 3 AND turn = first THEN last ELSE turn - 2 END AS needs FROM u JOIN n USING (conv_id)),
+w(conv_id, call_id, level) AS (
+  SELECT conv_id, call_id, 0 FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.conv_id = c.conv_id AND d.call_id = c.needs)
+  UNION ALL SELECT c.conv_id, c.call_id, w.level + 1 FROM w JOIN c ON c.conv_id = w.conv_id AND c.needs = w.call_id),
+r AS (SELECT conv_id, turn, 'call_' || (turn - 1) AS call_id, content, row_number() OVER (PARTITION BY conv_id, turn ORDER BY content) AS nth
+      FROM (SELECT DISTINCT conv_id, turn, coalesce(text, '') AS content FROM conversations WHERE role = 'assistant' AND NOT (conv_id % 3 = 2 AND turn = 1))),
+l AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.call_id, r.call_id) AS call_id, r.turn AS result_turn, r.content, c.call_id IS NOT NULL AS is_call,
+         CASE WHEN c.call_id IS NULL THEN 0 ELSE w.level END AS level, CASE WHEN c.call_id IS NULL THEN 'orphan_result' END AS kind
+  FROM c LEFT JOIN w USING (conv_id, call_id) FULL JOIN (SELECT * FROM r WHERE nth = 1) r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+  UNION ALL SELECT r.conv_id, r.turn, r.call_id, r.turn, r.content, false, CASE WHEN c.call_id IS NULL THEN 0 ELSE w.level END, 'surplus_result'
+  FROM r LEFT JOIN c USING (conv_id, call_id) LEFT JOIN w USING (conv_id, call_id) WHERE nth > 1),
+e AS (SELECT *, CASE WHEN NOT is_call THEN '' WHEN conv_id % 5 = 1 THEN 'limit: not integer' WHEN conv_id % 5 = 2 THEN 'zeta: unknown' WHEN conv_id % 5 = 3 THEN 'key: missing' ELSE '' END AS errors,
+  CASE WHEN is_call THEN '{' || CASE WHEN conv_id % 5 <> 3 THEN '"key":"k' || turn || '",' ELSE '' END || '"limit":' || CASE WHEN conv_id % 5 = 1 THEN '"x"' ELSE turn::VARCHAR END || CASE WHEN conv_id % 5 = 2 THEN ',"zeta":1' ELSE '' END || '}' ELSE 'null' END AS args FROM l),
+f AS (SELECT *, CASE WHEN NOT is_call THEN kind WHEN level IS NULL THEN 'cycle' WHEN errors <> '' THEN 'invalid_arguments' WHEN result_turn IS NULL THEN 'missing_result' ELSE 'ok' END AS status,
+  '{"arguments":' || args || ',"id":"' || call_id || '","name":' || CASE WHEN is_call THEN '"lookup"' ELSE 'null' END || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS canonical FROM e)
+SELECT conv_id, turn, call_id, result_turn, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(level, 1000000000), turn, call_id, canonical) - 1 AS topo_order, status, errors, canonical FROM f
+"""
