@@ -15,12 +15,31 @@ def _events(spark, sf_dir):
     return load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("ms", F.unix_millis("ts"))
 
 
-@query("WITH q AS (SELECT user_id, count(*) AS queries, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors, avg(value) AS quality, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS satisfied FROM events GROUP BY 1) SELECT count(*) AS sessions, round(avg(CASE WHEN errors > 0 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS follow_up_rate, round(avg(quality), 6) AS match_rate, round(avg(satisfied), 6) AS satisfaction, round(0.3 * (1 - avg(CASE WHEN errors > 0 THEN 1.0::DOUBLE ELSE 0.0 END)) + 0.25 * least(1, avg(quality) / 100) + 0.2 * avg(satisfied), 6) AS score FROM q")
+#: Events as telemetry: views retrieve, clicks interact, purchases are selections; a query is a user's day.
+_EFFECT_SQL = """
+WITH e AS (SELECT *, user_id || '-' || strftime(ts, '%Y-%m-%d') AS query_id FROM events),
+f AS (SELECT count(DISTINCT query_id) FILTER (event_type = 'click' AND value > 50) / nullif(count(DISTINCT query_id) FILTER (event_type = 'view'), 0)::DOUBLE AS follow_up_rate,
+  coalesce(avg(value / 100) FILTER (event_type = 'purchase'), 0) AS match_rate, 1 - coalesce(avg(1 - value / 200) FILTER (event_type = 'purchase'), 0) AS waste_rate,
+  coalesce(avg(least(1, value / 80)) FILTER (event_type = 'view'), 0) AS coverage, coalesce(avg(value / 20) FILTER (event_type = 'click' AND value >= 10) / 5, 0) AS satisfaction FROM e)
+SELECT round(follow_up_rate, 6) AS follow_up_rate, round(match_rate, 6) AS match_rate, round(waste_rate, 6) AS waste_rate, round(coverage, 6) AS coverage, round(satisfaction, 6) AS satisfaction,
+  round((1 - follow_up_rate) * 0.3 + match_rate * 0.25 + (1 - waste_rate) * 0.2 + coverage * 0.15 + satisfaction * 0.1, 6) AS score FROM f
+"""
+
+
+@query(_EFFECT_SQL)
 def telemetry_effectiveness(spark, sf_dir):
-    """AGG-18, JOIN-22: follow-ups, matches and satisfaction combined."""
-    q = _events(spark, sf_dir).groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.avg("value").alias("quality"), F.max((F.col("event_type") == "purchase").cast("int")).alias("satisfied"))
-    follow, quality, good = F.avg((F.col("errors") > 0).cast("double")), F.avg("quality"), F.avg("satisfied")
-    return q.agg(F.count("*").alias("sessions"), F.round(follow, 6).alias("follow_up_rate"), F.round(quality, 6).alias("match_rate"), F.round(good, 6).alias("satisfaction"), F.round((1 - follow) * 0.3 + F.least(F.lit(1.0), quality / 100) * 0.25 + good * 0.2, 6).alias("score"))
+    """AGG-18: follow-ups by distinct query, match, waste, coverage and satisfaction, and their weighted sum."""
+    v, kind = F.col("value"), F.col("event_type")
+    e = _events(spark, sf_dir).withColumn("query_id", F.concat_ws("-", "user_id", F.date_format("ts", "yyyy-MM-dd")))
+    # distinct queries by aggregate first: two counts of distinct values would copy every event
+    asked = e.groupBy("query_id").agg(F.bool_or(kind == "view").alias("asked"), F.bool_or((kind == "click") & (v > 50)).alias("followed"))
+    follow = asked.agg(F.coalesce(F.try_divide(F.count_if("followed"), F.count_if("asked")), F.lit(0.0)).alias("follow_up_rate"))
+    mean = lambda hit, x: F.coalesce(F.avg(F.when(hit, x)), F.lit(0.0))
+    rest = e.agg(mean(kind == "purchase", v / 100).alias("match_rate"), (1 - mean(kind == "purchase", 1 - v / 200)).alias("waste_rate"), mean(kind == "view", F.least(F.lit(1.0), v / 80)).alias("coverage"), (mean((kind == "click") & (v >= 10), v / 20) / 5).alias("satisfaction"))
+    c = F.col
+    score = (1 - c("follow_up_rate")) * 0.3 + c("match_rate") * 0.25 + (1 - c("waste_rate")) * 0.2 + c("coverage") * 0.15 + c("satisfaction") * 0.1
+    row = follow.join(rest)
+    return row.select(*(F.round(x, 6).alias(x) for x in row.columns), F.round(score, 6).alias("score"))
 
 
 @query("SELECT event_type AS preset, n, mean_value, p_high, row_number() OVER (ORDER BY mean_value DESC, event_type) AS rank FROM (SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS p_high FROM events GROUP BY 1)")
