@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.scores import jaccard
+from lodestone.functions.scores import chunk_overlap, jaccard, semantic_similarity
 from lodestone.functions.vector import as_double, cosine, norm
 from lodestone.session import materialize
 
@@ -98,7 +98,7 @@ def describe(p: Preset) -> list[str]:
 
 
 def _take_critical(rows: DataFrame, p: Preset) -> DataFrame:
-    """Critical rows (query_id, id, embedding, tokens) that are taken: all if they fit together, else in order of id each that still fits."""
+    """Critical rows (query_id, id, item, tokens) that are taken: all if they fit together, else in order of id each that still fits."""
     room = p.budget * (1 - p.cushion)
     total = Window.partitionBy("query_id")
     rows = rows.withColumn("fits", F.sum("tokens").over(total) <= room).withColumn("used", F.lit(0.0))
@@ -115,30 +115,54 @@ def _take_critical(rows: DataFrame, p: Preset) -> DataFrame:
         left = left.withColumn("used", F.max(F.when(F.col("now"), F.col("after"))).over(total)).where("not now").drop("now", "after")
 
 
+#: What the similarity of two rows is made from; all but the embedding may be missing.
+_ITEM = {"embedding": "array<double>", "file_path": "string", "chunk_type": "string", "words": "array<string>"}
+
+
+def _similarity(metric: str):
+    """Of two item structs: cosine, overlap of words with its shortcuts, or both."""
+
+    def of(a, b):
+        near = cosine(a["embedding"], b["embedding"])
+        if metric == "cosine":
+            return near
+        overlap = chunk_overlap(a["file_path"] == b["file_path"], a["chunk_type"] == b["chunk_type"], a["words"], b["words"])
+        return overlap if metric == "jaccard" else semantic_similarity(near, overlap)
+
+    return of
+
+
 def mmr_select(candidates: DataFrame, k: int, preset: Preset = PRESETS["balanced"]) -> DataFrame:
     """Greedy selection per query over all candidates (query_id, id, embedding, relevance, tokens, critical): query_id, position, id, score.
 
     Critical rows come first, in order of id, and are not limited by ``k``. Every
     further place is one argmax pass over the candidates; ties go to the smaller id.
+    The preset's similarity needs file_path, chunk_type and words; without them it is the cosine.
     """
     p, room = preset, preset.budget * (1 - preset.cushion)
-    c = candidates.select("query_id", "id", as_double("embedding").alias("embedding"), F.col("relevance").cast("double").alias("relevance"), F.col("tokens").cast("double").alias("tokens"), "critical")
+    full = set(_ITEM) <= set(candidates.columns)
+    same = _similarity(p.metric if full else "cosine")
+    c = candidates.withColumn("embedding", as_double("embedding"))
+    item = F.struct(*((F.col(n) if full or n == "embedding" else F.lit(None).cast(t)).alias(n) for n, t in _ITEM.items()))
+    c = c.select("query_id", "id", item.alias("item"), F.col("relevance").cast("double").alias("relevance"), F.col("tokens").cast("double").alias("tokens"), "critical")
     c = materialize(c, "mmr-candidates")
-    first = materialize(_take_critical(c.where("critical").select("query_id", "id", "embedding", "tokens"), p), "mmr-first")
+    first = materialize(_take_critical(c.where("critical").select("query_id", "id", "item", "tokens"), p), "mmr-first")
     end, best = (F.array_min, F.least) if p.diversity == "reference" else (F.array_max, F.greatest)
-    nearest = lambda vectors: end(F.transform(vectors, lambda v: cosine("embedding", v)))
-    sums = first.groupBy("query_id").agg(F.sum("tokens").alias("used"), F.count("*").alias("n"), F.collect_list("embedding").alias("first"))
+    nearest = lambda items: end(F.transform(items, lambda v: same(F.col("item"), v)))
+    sums = first.groupBy("query_id").agg(F.sum("tokens").alias("used"), F.count("*").alias("n"), F.collect_list("item").alias("first"))
     rest = c.where("not critical").join(sums.select("query_id", "first"), "query_id", "left").withColumn("near", nearest(F.col("first"))).drop("first", "critical")
     rest = materialize(rest, "mmr-rest")
     state = c.select("query_id").distinct().join(sums.drop("first"), "query_id", "left")
-    empty = F.array().cast("array<struct<id:bigint,score:double,embedding:array<double>>>")
+    fields = ",".join(f"{n}:{t}" for n, t in _ITEM.items())
+    empty = F.array().cast(f"array<struct<id:bigint,score:double,item:struct<{fields}>>>")
     state = materialize(state.select("query_id", F.coalesce("used", F.lit(0.0)).alias("used"), F.coalesce("n", F.lit(0)).alias("n"), empty.alias("picked")), "mmr-state")
     for _ in range(k):
         open_ = rest.join(state.where(F.col("n") < k), "query_id").where((F.col("used") + F.col("tokens") <= room) & ~F.array_contains("picked.id", F.col("id")))
-        near = best("near", nearest(F.col("picked.embedding")))  # skips nulls
+        near = best("near", nearest(F.col("picked.item")))  # skips nulls
         diverse = F.when(near.isNull(), 1.0).otherwise(1 - F.least(F.greatest(near, F.lit(0.0)), F.lit(1.0)))
         scored = open_.withColumn("score", p.lam * F.col("relevance") + (1 - p.lam) * diverse)
-        top = scored.groupBy("query_id").agg(F.max_by(F.struct(F.col("id").cast("long").alias("id"), "score", "embedding"), F.struct("score", -F.col("id"))).alias("top"), F.max_by("tokens", F.struct("score", -F.col("id"))).alias("size"))
+        row, order = F.struct(F.col("id").cast("long").alias("id"), "score", "item"), F.struct("score", -F.col("id"))
+        top = scored.groupBy("query_id").agg(F.max_by(row, order).alias("top"), F.max_by("tokens", order).alias("size"))
         top = materialize(top, "mmr-top")
         if top.isEmpty():
             break
@@ -152,6 +176,23 @@ def mmr_select(candidates: DataFrame, k: int, preset: Preset = PRESETS["balanced
     return one.unionByName(two)
 
 
+def mmr_metrics(selected: DataFrame, candidates: DataFrame, named: int, preset: Preset = PRESETS["balanced"]) -> DataFrame:
+    """Per query: chunks, tokens, utilisation of the budget, critical coverage (of ``named`` files and functions; raw, and at most 1), diversity.
+
+    Diversity is 1 - mean pairwise cosine, 1 for a single chunk, from sums of unit vectors.
+    """
+    rows = selected.select("query_id", "id").join(candidates, ["query_id", "id"]).withColumn("v", as_double("embedding"))
+    rows = rows.withColumn("norm_", norm(F.col("v")))
+    unit = rows.where("norm_ > 0").select("query_id", "id", F.posexplode(F.transform("v", lambda x: x / F.col("norm_"))).alias("pos", "x"))
+    total = unit.groupBy("query_id", "pos").agg(F.sum("x").alias("all"), F.sum(F.col("x") * F.col("x")).alias("own"))
+    total = total.groupBy("query_id").agg((F.sum(F.col("all") * F.col("all") - F.col("own")) / 2).alias("close"))
+    n = rows.groupBy("query_id").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"), F.count_if("critical").alias("critical"))
+    pairs = F.col("chunks") * (F.col("chunks") - 1) / 2
+    raw = F.col("critical") / F.greatest(F.lit(named), F.lit(1))
+    out = n.join(total, "query_id", "left")
+    return out.select("query_id", "chunks", "tokens", (F.col("tokens") / preset.budget).alias("utilisation"), F.least(F.lit(1.0), raw).alias("coverage"), raw.alias("raw_coverage"), F.when(pairs > 0, 1 - F.coalesce("close", F.lit(0.0)) / pairs).otherwise(1.0).alias("diversity"))
+
+
 def diversity(vectors: DataFrame, id_col: str, vec: str) -> DataFrame:
     """1 - mean cosine of all pairs with different ids, from sums of unit vectors: no pair is formed."""
     n = norm(F.col("v"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import words
 from lodestone.functions.vector import as_double, cosine, is_finite, norm
-from lodestone.operators.selection import diversity, mmr_select, top_jaccard
+from lodestone.operators.selection import diversity, mmr_metrics, mmr_select, top_jaccard
 from lodestone.plans.registry import query
 from lodestone.session import load
 
@@ -69,12 +69,33 @@ def duplicate_vectors(spark, sf_dir):
     return g.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"), F.coalesce(F.sum((F.col("n") - 1) * F.col("dim") * 4), F.lit(0)).alias("bytes"))
 
 
+def _candidates(spark, sf_dir, full: bool = False):
+    """Documents as candidates of their vector's label; ``full``: with file, type and words."""
+    v, d = load(spark, sf_dir, "embeddings"), load(spark, sf_dir, "documents")
+    k = F.col("vec_id")
+    own = [F.col("label").cast("long").alias("query_id"), k.alias("id"), "embedding", (1 / (1 + k % 17)).alias("relevance"), F.ceil(F.length("text") / 4).alias("tokens"), (k % 50 == 0).alias("critical")]
+    more = [F.col("source").alias("file_path"), (k % 5).cast("string").alias("chunk_type"), F.array_distinct(words(F.col("text"))).alias("words")] if full else []
+    return v.join(d, k == F.col("doc_id")).select(*own, *more)
+
+
 @query()
 def mmr_selection(spark, sf_dir):
     """MMR-1 (its budget), MMR-2 to MMR-4 with cosine: critical rows first, then greedy selection under a token budget; one group per label."""
-    v, d = load(spark, sf_dir, "embeddings"), load(spark, sf_dir, "documents")
-    c = v.join(d, F.col("vec_id") == F.col("doc_id")).select(F.col("label").cast("long").alias("query_id"), F.col("vec_id").alias("id"), "embedding", (1 / (1 + F.col("vec_id") % 17)).alias("relevance"), F.ceil(F.length("text") / 4).alias("tokens"), (F.col("vec_id") % 50 == 0).alias("critical"))
-    return mmr_select(c, 10)
+    return mmr_select(_candidates(spark, sf_dir), 10)
+
+
+@query()
+def mmr_semantic(spark, sf_dir):
+    """MMR-2, MMR-3 with the preset's similarity: cosine and overlap of words."""
+    return mmr_select(_candidates(spark, sf_dir, True), 5)
+
+
+@query()
+def mmr_report(spark, sf_dir):
+    """MMR-5, AGG-30: coverage, tokens, utilisation and diversity of what mmr_selection takes."""
+    c = _candidates(spark, sf_dir)
+    m = mmr_metrics(mmr_select(c, 10), c, 4)
+    return m.select("query_id", "chunks", "tokens", *(F.round(x, 6).alias(x) for x in ("utilisation", "coverage", "raw_coverage", "diversity")))
 
 
 @query()
