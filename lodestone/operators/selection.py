@@ -5,8 +5,10 @@ from __future__ import annotations
 import contextlib
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.scores import chunk_overlap, jaccard, semantic_similarity
 from lodestone.functions.vector import as_double, cosine, norm
@@ -20,22 +22,29 @@ def prefix_stop(rows: DataFrame, group: list[str], order: list, size: str, budge
 
 
 def prefix_skip(rows: DataFrame, group: list[str], order: list, size: str, budget: float) -> DataFrame:
-    """Rows of every group, in order, that still fit after those taken (with their rank); sizes are not negative.
+    """Rows of every group, in order, that still fit after those taken, with their rank; a row without a size never fits.
 
-    Each pass drops what no longer fits, then takes the longest run that does; a group ends when nothing is left.
+    A fold over sorted partitions: it keeps two numbers for the group at hand, whatever the size of a group.
     """
-    w = Window.partitionBy(*group).orderBy("rank")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    left, taken = ranked.withColumn("used_", F.lit(0.0)), None
-    while True:
-        left = left.where(F.col("used_") + F.col(size) <= budget).withColumn("after_", F.col("used_") + F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        left = materialize(left.withColumn("now_", F.col("after_") <= budget), "prefix-skip")
-        if left.isEmpty():
-            return (ranked.limit(0) if taken is None else taken).drop("used_")
-        fits = left.where("now_").drop("now_", "after_", "used_")
-        taken = fits if taken is None else taken.unionByName(fits)
-        used = F.max(F.when(F.col("now_"), F.col("after_"))).over(Window.partitionBy(*group))
-        left = left.withColumn("used_", used).where("not now_").drop("now_", "after_")
+    schema = T.StructType([*rows.schema.fields, T.StructField("rank", T.IntegerType())])
+
+    def fold(batches):
+        last, used, rank = None, 0.0, 0
+        for batch in batches:
+            names = batch.schema.names
+            keys = list(zip(*(batch.column(names.index(g)).to_pylist() for g in group), strict=True))
+            keep, ranks = [], []
+            for k, x in zip(keys, batch.column(names.index(size)).to_pylist(), strict=True):
+                if rank == 0 or k != last:
+                    last, used, rank = k, 0.0, 0
+                rank += 1
+                fits = x is not None and used + float(x) <= budget
+                used += float(x) if fits else 0.0
+                keep.append(fits)
+                ranks.append(rank)
+            yield pa.record_batch([*batch.columns, pa.array(ranks, pa.int32())], names=[*names, "rank"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(fold, schema)
 
 
 #: Name -> weight of relevance, token budget, cushion, similarity, least share of critical rows.
