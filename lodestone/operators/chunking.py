@@ -85,7 +85,8 @@ class ChunkCode:
 def code_chunks(files: DataFrame, key: str, language: str, text: str) -> DataFrame:
     """Code files to chunks through a table function, joined laterally."""
     udtf = F.udtf(ChunkCode, returnType=CHUNK)
-    return files.lateralJoin(udtf(F.col(language).outer(), F.col(text).outer())).select(key, *CHUNK.fieldNames())
+    own = files.select(key, F.col(language).alias("language_"), F.col(text).alias("text_"))
+    return own.lateralJoin(udtf(F.col("language_").outer(), F.col("text_").outer())).select(key, *CHUNK.fieldNames())
 
 
 SYMBOL = T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("scope", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("target", T.StringType()), T.StructField("strength", T.DoubleType())])
@@ -134,4 +135,5 @@ class ParsePython:
 def python_symbols(files: DataFrame, key: str, text: str) -> DataFrame:
     """Symbols (no target) and edges (with target) of Python files."""
     udtf = F.udtf(ParsePython, returnType=SYMBOL)
-    return files.lateralJoin(udtf(F.col(text).outer())).select(key, *SYMBOL.fieldNames())
+    own = files.select(key, F.col(text).alias("text_"))
+    return own.lateralJoin(udtf(F.col("text_").outer())).select(key, *SYMBOL.fieldNames())

@@ -226,4 +226,5 @@ class ParseScript:
 def script_symbols(files: DataFrame, key: str, text: str) -> DataFrame:
     """Symbols and edges of JavaScript and TypeScript files: key and the columns of ``SCHEMA``."""
     handler = F.udtf(ParseScript, returnType=SCHEMA)
-    return files.lateralJoin(handler(F.col(text).outer())).select(key, *(x.split()[0] for x in SCHEMA.split(", ")))
+    own = files.select(key, F.col(text).alias("text_"))
+    return own.lateralJoin(handler(F.col("text_").outer())).select(key, *(x.split()[0] for x in SCHEMA.split(", ")))

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from lodestone.plans import contents, context, deltas, graphs, health, parsing, projects, scoring, storage, streams, telemetry, texts, tools, usage, vectors  # noqa: E402, F401
+from lodestone.plans import contents, context, deltas, graphs, health, indexing, parsing, projects, scoring, storage, streams, telemetry, texts, tools, usage, vectors  # noqa: E402, F401

@@ -128,3 +128,16 @@ def test_critical_set_of_a_question(spark):
     q = F.lit("Fix function parseIt( in src/Login.ts with class UserService")
     assert "login.ts" in value(spark, queries.file_paths(q)) and value(spark, queries.function_names(q)) == ["parseit"]
     assert {"UserService", "Fix", "parseIt", "Login"} == set(value(spark, queries.symbol_names(q)))
+
+
+def test_incremental_index_equals_the_whole_one(spark):
+    from lodestone.operators import indexing
+
+    schema = "file_path string, content string"
+    old = spark.createDataFrame([("a.py", "def f():\n    return 1\n\ndef g():\n    return 2\n"), ("b.md", "x\ny"), ("gone.md", "z"), ("same.ts", "const a = 1")], schema)
+    new = spark.createDataFrame([("a.py", "def f():\n    return 1\n\ndef g():\n    return 3\n"), ("b.md", "x\ny"), ("new.js", "function h() {\n}\n"), ("same.ts", "const a = 1")], schema)
+    embed = lambda text: F.array(F.length(text).cast("double"))
+    got = indexing.incremental_index(indexing.full_index(old, embed), new, embed)
+    key = lambda df: sorted((r.file_path, r.chunk, r.content_hash, tuple(r.embedding)) for r in df.collect())
+    assert key(got) == key(indexing.full_index(new, embed))
+    assert {(r.file_path, r.start_line): r.reused for r in got.collect()} == {("a.py", 1): True, ("a.py", 4): False, ("b.md", 1): True, ("new.js", 1): False, ("same.ts", 1): True}
