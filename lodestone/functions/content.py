@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,21 +60,38 @@ LANGUAGE_VALUE = {"typescript": 3, "javascript": 2, "python": 2, "markdown": 1,
 TYPE_IMPORTANCE = {"source": 30, "test": 20, "documentation": 15, "config": 10, "build": 5, "data": 5}
 LANGUAGE_IMPORTANCE = {"typescript": 20, "javascript": 18, "python": 15, "markdown": 10, "json": 8, "yaml": 5}
 
-#: An edge of ASCII words, whatever the Java version takes \b to be.
-_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+def java(pattern: str) -> str:
+    """The pattern with \\b, which here always begins a word, for ASCII words whatever the Java version takes it to be."""
+    return pattern.replace(r"\b", "(?<![A-Za-z0-9_])")
 
 
-def java(pattern: str) -> str:
-    return pattern.replace(r"\b", _EDGE)
+def literal(pattern: str) -> str:
+    """The longest text that every match of a pattern holds, as far as it is plain to see; empty if the pattern has alternatives."""
+    plain = re.sub(r"^\(\?[a-z]+\)", "", pattern)
+    if "|" in plain or "(?i)" in pattern:
+        return ""
+    plain = re.sub(r"\[[^\]]*\](?:\{[\d,]*\}|[*+?])*|\([^)]*\)[?*]?", "\0", plain)
+    plain = re.sub(r"(?<!\\)\{[\d,]+\}", "\0", plain)
+    plain = re.sub(r"\\[A-Za-z](?:[*+?])*", "\0", plain)
+    plain = re.sub(r"\\(.)", r"\1", re.sub(r"(?:\\.|[^\\\0])[*?]", "\0", plain))
+    return max(re.split(r"[\0^$+]|\.\*", plain), key=len)
 
 
 def _any(text: Column, patterns) -> Column:
+    """Whether any pattern matches; what all its matches hold is looked for first."""
     found = F.lit(False)
     for p in patterns:
-        found = found | text.rlike(java(p))
+        known = literal(p)
+        hit = text.rlike(java(p))
+        found = found | (F.contains(text, F.lit(known)) & hit if known else hit)
     return found
 
 
+def _count(text: Column, pattern: str) -> Column:
+    known, n = literal(pattern), F.regexp_count(text, F.lit(java(pattern)))
+    return F.when(F.contains(text, F.lit(known)), n).otherwise(0) if known else n
+
+
 def _by_language(lang: Column, table: dict, make, default) -> Column:
     out = None
     for name, entry in table.items():
@@ -93,7 +112,7 @@ def language(path: Column, text: Column) -> Column:
 
 def complexity(lang: Column, text: Column) -> Column:
     """Marks of structure + one for every 50 lines + half the pairs of braces, rounded; 0 for an unknown language."""
-    total = lambda patterns: sum((F.regexp_count(text, F.lit(java(p))) for p in patterns), F.lit(0))
+    total = lambda patterns: sum((_count(text, p) for p in patterns), F.lit(0))
     once = lambda patterns: sum((text.rlike(java(p)).cast("int") for p in patterns), F.lit(0))
     marks = _by_language(lang, SHAPES, total, F.lit(0)) + _by_language(lang, SHAPES_ONCE, once, F.lit(0))
     lines = F.floor(F.size(F.split(text, "\n")) / 50)

@@ -172,12 +172,12 @@ def mmr_select(candidates: DataFrame, k: int, preset: Preset = PRESETS["balanced
         scored = open_.withColumn("score", p.lam * F.col("relevance") + (1 - p.lam) * diverse)
         row, order = F.struct(F.col("id").cast("long").alias("id"), "score", "item"), F.struct("score", -F.col("id"))
         top = scored.groupBy("query_id").agg(F.max_by(row, order).alias("top"), F.max_by("tokens", order).alias("size"))
-        top = materialize(top, "mmr-top")
-        if top.isEmpty():
-            break
         more = F.col("top").isNotNull()
-        state = state.join(top, "query_id", "left").select("query_id", (F.col("used") + F.coalesce("size", F.lit(0.0))).alias("used"), (F.col("n") + more.cast("long")).alias("n"), F.when(more, F.concat("picked", F.array("top"))).otherwise(F.col("picked")).alias("picked"))
+        state = state.join(top, "query_id", "left").select("query_id", (F.col("used") + F.coalesce("size", F.lit(0.0))).alias("used"), (F.col("n") + more.cast("long")).alias("n"), F.when(more, F.concat("picked", F.array("top"))).otherwise(F.col("picked")).alias("picked"), more.alias("more"))
         state = materialize(state, "mmr-state")
+        if state.where("more").isEmpty():
+            break
+        state = state.drop("more")
     one = first.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("id")).alias("position"), F.col("id").cast("long").alias("id"), F.lit(1.0).alias("score"))
     done = first.groupBy("query_id").agg(F.count("*").alias("done"))
     two = state.join(done, "query_id", "left").select("query_id", F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("picked").alias("at", "x"))

@@ -141,3 +141,17 @@ def test_incremental_index_equals_the_whole_one(spark):
     key = lambda df: sorted((r.file_path, r.chunk, r.content_hash, tuple(r.embedding)) for r in df.collect())
     assert key(got) == key(indexing.full_index(new, embed))
     assert {(r.file_path, r.start_line): r.reused for r in got.collect()} == {("a.py", 1): True, ("a.py", 4): False, ("b.md", 1): True, ("new.js", 1): False, ("same.ts", 1): True}
+
+
+def test_literals_stand_in_every_match():
+    import re
+
+    tables = (content.IMPORTS, content.EXPORTS, content.TESTS, content.COMMENTS, content.SHAPES, content.SHAPES_ONCE)
+    patterns = {p for t in tables for ps in t.values() for p in ps} | set(content.DOCUMENTATION) | set(content.SEMANTIC_CHANGE)
+    samples = SOURCE + "\n# T\n## x\n```a```\n[a](b) ![c](d)\n<!-- x -->\ndef f(\nasync def g\nclass A\nif x\nfor (a) while (b) try {\ntry: with y\nassert z\ntest_a unittest. pytest.\n__all__ = 1\nexports.a = 2\nmodule.exports = 3\nrequire('x')\nimport (\nfrom a import b\nimport a from 'b'\nkey: v\n - item\n\"scripts\": \"dependencies\": \"devDependencies\":\n/** d */\n'''q'''\n\"\"\"r\"\"\"\n@param x\n@returns y\n@description z\n__tests__ interface I type T => { while x"
+    met = 0
+    for p in patterns:
+        for m in re.finditer(p, samples):
+            met += 1
+            assert content.literal(p) in m[0], (p, m[0])
+    assert met > 60
