@@ -63,6 +63,7 @@ MIN_TRUSTED = 20
 BROADCAST_IDS = 2_000_000
 BLOCK_BYTES = 32 << 20
 SLICE = 1 << 20
+SLOT_BITS = 20
 START = "\x02"  # stands before the first character
 
 _ODD = mix64(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -89,10 +90,11 @@ def characters(data: np.ndarray, offs: np.ndarray, order: int) -> Chars:
     ends = np.arange(len(points)) + (row + 1) * pad
     full = np.full(len(points) + pad * len(n), ord(START), np.uint32)
     full[ends] = points
-    h = np.zeros(len(points), np.uint64)
-    for k in range(order):
-        h += (full[ends - k].astype(np.uint64) + np.uint64(1)) * _ODD[k]
-    return Chars(full, mix64(h), ends, at)
+    wide = full.astype(np.uint64) + np.uint64(1)
+    h = wide * _ODD[0]
+    for k in range(1, order):
+        h[k:] += wide[:-k] * _ODD[k]
+    return Chars(full, mix64(h)[ends], ends, at)
 
 
 def gram_codes(grams: pa.Array, order: int) -> np.ndarray:
@@ -105,6 +107,23 @@ def gram_codes(grams: pa.Array, order: int) -> np.ndarray:
     return mix64(h)
 
 
+def _slot(codes: np.ndarray) -> np.ndarray:
+    """The top bits of a code: its place in a table of 2 ** ``SLOT_BITS`` entries."""
+    return (codes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _places(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """A place of every code of ``wanted`` (sorted, distinct) in ``codes``."""
+    flag = np.zeros(1 << SLOT_BITS, bool)
+    flag[_slot(wanted)] = True
+    near = np.flatnonzero(flag[_slot(codes)])
+    at = np.minimum(np.searchsorted(wanted, codes[near]), len(wanted) - 1)
+    hit = wanted[at] == codes[near]
+    out = np.zeros(len(wanted), np.int64)
+    out[at[hit]] = near[hit]
+    return out
+
+
 def _distinct(slices, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes, characters (rows x order) and counts of the distinct n-grams."""
     codes, points, counts = np.zeros(0, np.uint64), np.zeros((0, order), np.uint32), np.zeros(0, np.int64)
@@ -112,7 +131,7 @@ def _distinct(slices, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(data):
             continue
         c = characters(data, offs, order)
-        u, first, n = np.unique(c.codes, return_index=True, return_counts=True)
+        u, n = np.unique(c.codes, return_counts=True)
         at = np.searchsorted(codes, u)
         known = np.zeros(len(u), bool)
         inside = at < len(codes)
@@ -120,13 +139,29 @@ def _distinct(slices, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counts[at[known]] += n[known]
         if not known.all():
             new = ~known
-            spell = c.points[c.ends[first[new]][:, None] + np.arange(1 - order, 1)]
+            spell = c.points[c.ends[_places(c.codes, u[new])][:, None] + np.arange(1 - order, 1)]
             codes, points, counts = np.append(codes, u[new]), np.concatenate([points, spell]), np.append(counts, n[new])
             by = np.argsort(codes, kind="stable")
             codes, points, counts = codes[by], points[by], counts[by]
     return codes, points, counts
 
 
+class Lookup:
+    """Values by code: one table entry for most codes, a search for those whose entry another code has."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.codes, self.values = codes, values
+        self.owner = np.zeros(1 << SLOT_BITS, np.int32)
+        self.owner[_slot(codes)] = np.arange(len(codes), dtype=np.int32)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        at = self.owner[_slot(codes)]
+        miss = np.flatnonzero(self.codes[at] != codes)
+        if len(miss):
+            at[miss] = np.searchsorted(self.codes, codes[miss])
+        return self.values[at]
+
+
 def _strings(points: np.ndarray) -> pa.Array:
     joined, k = np.ascontiguousarray(points).astype("<u4").tobytes().decode("utf-32-le"), points.shape[1]
     return pa.array([joined[i : i + k] for i in range(0, len(joined), k)], pa.string())
@@ -313,14 +348,14 @@ def write_answers(docs: DataFrame, model: Counts) -> str:
     return folder
 
 
-def _answers(fs, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes and log-probabilities of a block."""
+def _answers(fs, path: str) -> Lookup:
+    """Log-probabilities of a block's n-grams by code."""
     try:
         with fs.open_input_file(path) as f:
             got = pa.ipc.open_file(f).read_all()
     except FileNotFoundError:
         raise RuntimeError("the documents differ between two readings; write them as a table first") from None
-    return got.column("code").to_numpy(), got.column("logp").to_numpy()
+    return Lookup(got.column("code").to_numpy(), got.column("logp").to_numpy())
 
 
 def _score(folder: str, order: int):
@@ -329,15 +364,15 @@ def _score(folder: str, order: int):
     def run(batches):
         fs, path = filesystem(folder)
         for key, rows in blocks(batches):
-            codes, out = None, []
+            answers, out = None, []
             for data, offs in _slices(_text(rows)):
                 if not len(data):
                     out.append(np.full(len(offs) - 1, np.nan))
                     continue
-                if codes is None:
-                    codes, logp = _answers(fs, f"{path}/{key}.arrow")
+                if answers is None:
+                    answers = _answers(fs, f"{path}/{key}.arrow")
                 c = characters(data, offs, order)
-                total, n = segment_sums(logp[np.searchsorted(codes, c.codes)], c.offs), np.diff(c.offs)
+                total, n = segment_sums(answers(c.codes), c.offs), np.diff(c.offs)
                 out.append(np.where(n > 0, -total / np.maximum(n, 1), np.nan))
             yield rows, np.floor(np.concatenate(out) * GRID) / GRID
 
