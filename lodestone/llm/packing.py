@@ -36,7 +36,7 @@ from lodestone.session import load, materialize
 
 SEQ_LEN = 1024
 UNIT = 8
-SLICE = 2 << 20
+SLICE = 4 << 20
 
 
 def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
