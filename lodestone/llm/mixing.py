@@ -3,20 +3,19 @@
 Domains are the label pairs of the labelled table (quality, toxic). A softmax
 regression over the most telling words and symbol runs, fitted on a bounded
 sample of labelled rows (``FIT_ROWS``), gives every document a posterior over
-domains. Nonnegative document rates are then fitted so that the expected
-tokens of each domain, sum of rate x tokens x posterior, meet the targets:
-least squares by projected gradient steps from rate 1.
+domains. Document rates are the nonnegative ones nearest to 1 (by tokens) with
+which the expected tokens of each domain, sum of rate x tokens x posterior,
+meet the targets. By duality such a rate is max(0, 1 - posterior . x), with one
+number x per domain for the whole corpus.
 
-Each step is one pass that sums a vector with an entry per domain; the metric
-is scaled by the domains' second moments, so a step of length 1 never
-overshoots and few are needed. The rate of a document is a function of its own
-posterior and of the (steps x domains) numbers so far, so nothing per document
-is kept on the driver.
+The dual of x is convex and is minimised by Newton's method with step halving.
+Each step is one pass that sums (domains + 1) x domains numbers, so nothing per
+document is kept on the driver; a ridge of ``RIDGE`` keeps x finite where no
+rates can meet the targets, and there leaves the rest of least squares.
 
-``solve`` ends when the targets are met, or when steps no longer change the
-gap (targets that no rates can meet: least squares leaves a rest); if it has
-done neither after ``STEPS`` steps and the gap is above ``MAX_GAP`` of all
-tokens, it raises an error.
+``solve`` ends when the targets are met or x is at the minimum; if neither
+holds after ``STEPS`` passes and the gap is above ``MAX_GAP`` of all tokens, it
+raises an error. A rest above ``MAX_GAP`` that no rates can avoid is a warning.
 
 Defined results: null text is empty (0 tokens, rate 1); repeated rows keep
 their own equal rates; equal texts get equal rates; texts of any length count
@@ -29,6 +28,7 @@ rows.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.textbuf import ALNUM, TextSlice, runs, span_hashes, text_slices
+from lodestone.llm.textbuf import ALNUM, SLICE_BYTES, TextSlice, runs, span_hashes, text_slices
 from lodestone.session import load, materialize
 
 FIT_ROWS = 6000
 FEATURES = 512
 STEPS = 60
-#: Largest gap, as a share of all tokens, with which the targets count as met; smallest change of it that counts as progress.
-TOLERANCE, PROGRESS, MAX_GAP = 1e-6, 1e-6, 0.01
+#: Largest gap, as a share of all tokens, with which the targets count as met; slope (likewise) and relative gain of a step that count as none; ridge per token.
+TOLERANCE, FLAT, PROGRESS, MAX_GAP, RIDGE = 1e-6, 1e-9, 1e-6, 0.01, 1e-9
 MAX_DOMAINS = 256
 DOMAINS = ("q0t0", "q0t1", "q1t0", "q1t1")
 #: Target share of the tokens of each domain.
@@ -169,29 +169,30 @@ def rates_of(p: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
     return w
 
 
-def _sums(members: DataFrame, k: int, history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens by domain at the current rates, and the second moments of the posteriors of rows with a rate above 0."""
+def _sums(members: DataFrame, k: int, history: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+    """At the current rates: half the sum of tokens x squared rate, expected tokens by domain, and the second moments of the posteriors of rows with a rate above 0."""
 
     def run(batches):
-        total, moment = np.zeros(k), np.zeros((k, k))
+        half, total, moment = 0.0, np.zeros(k), np.zeros((k, k))
         for b in batches:
             if b.num_rows:
                 n, p = b.column(0).to_numpy().astype(float), b.column(1).flatten().to_numpy().reshape(-1, k)
                 w = rates_of(p, history)
+                half += 0.5 * float((n * w) @ w)
                 total += (w * n) @ p
                 moment += (p * n[:, None])[w > 0].T @ p[w > 0]
-        yield pa.record_batch([pa.array(range(k + k * k), pa.int32()), pa.array(np.append(total, moment.ravel()))], names=["i", "v"])
+        yield pa.record_batch([pa.array(range(1 + k + k * k), pa.int32()), pa.array(np.concatenate([[half], total, moment.ravel()]))], names=["i", "v"])
 
-    out = np.zeros(k + k * k)
+    out = np.zeros(1 + k + k * k)
     for i, v in members.select("n_tokens", "p").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v")).collect():
         out[i] = v
-    return out[:k], out[k:].reshape(k, k)
+    return float(out[0]), out[1 : 1 + k], out[1 + k :].reshape(k, k)
 
 
 def solve(members: DataFrame, domains: tuple[str, ...], targets: dict[str, float] | None = None, multiples: dict[str, float] | None = None, steps: int = STEPS) -> list[np.ndarray]:
-    """The projected-gradient steps. Targets are shares of all tokens, or multiples of a domain's expected tokens."""
+    """The step from rate 1 to the rates (``rates_of``). Targets are shares of all tokens, or multiples of a domain's expected tokens."""
     k = len(domains)
-    now, moment = _sums(members, k, [])
+    half, now, moment = _sums(members, k, [])
     if not now.sum():
         return []
     if multiples is not None:
@@ -199,27 +200,34 @@ def solve(members: DataFrame, domains: tuple[str, ...], targets: dict[str, float
     else:
         share = np.array([(targets or TARGETS).get(d, 0.0) for d in domains])
         goal = now.sum() * (share / share.sum() if share.sum() else np.full(k, 1 / k))
-    inverse = lambda m: np.linalg.pinv(m + 1e-12 * np.trace(m) * np.eye(k))
-    whole = inverse(moment)
-    size = lambda x: float(np.sqrt(x @ whole @ x) / np.sqrt(goal @ whole @ goal))
-    history: list[np.ndarray] = []
-    last = np.inf
+    every, ridge = max(goal.sum(), 1e-9 * now.sum()), RIDGE * now.sum()
+    x, value, passes, length = np.zeros(k), half, 0, 1.0
+    gap, slope = now - goal, goal - now
+    step, gain = np.zeros(k), np.inf
     while True:
-        gap = now - goal
-        if np.abs(gap).max() <= TOLERANCE * goal.sum() or last - size(gap) < PROGRESS * size(gap):
-            return history
-        if len(history) >= steps:
-            if np.abs(gap).max() > MAX_GAP * goal.sum():
-                raise RuntimeError(f"targets not met after {steps} steps: relative gap {size(gap):.2g}")
-            return history
-        last = size(gap)
-        # a step in the metric of the rows that still move; in that of all rows, which never overshoots, if the first makes things worse
-        for metric in (inverse(moment), whole):
-            trial = [*history, metric @ gap]
-            after, active = _sums(members, k, trial)
-            if size(after - goal) < last:
-                break
-        history, now, moment = trial, after, active
+        missed = np.abs(gap).max() / every
+        if length == 1.0:  # a new point
+            slope = ridge * x - gap
+            step = -np.linalg.solve(moment + ridge * np.eye(k), slope)
+            gain = -float(slope @ step)
+        if missed <= TOLERANCE:
+            return [x] if x.any() else []
+        if np.abs(slope).max() <= FLAT * every or length < 1e-9 or missed > MAX_GAP and gain <= PROGRESS * abs(value):
+            if missed > MAX_GAP:
+                warnings.warn(f"no rates meet the targets: a rest of {missed:.2g} of all tokens", stacklevel=2)
+            return [x]
+        if passes >= steps:
+            if missed > MAX_GAP:
+                raise RuntimeError(f"targets not met after {steps} steps: gap {missed:.2g} of all tokens")
+            return [x]
+        trial = x + length * step
+        half, after, active = _sums(members, k, [trial])
+        passes += 1
+        at = half + float(trial @ goal) + 0.5 * ridge * float(trial @ trial)
+        if at <= value - 1e-4 * length * gain + 1e-15 * every:
+            x, value, gap, moment, length = trial, at, after - goal, active, 1.0
+        else:
+            length /= 4
 
 
 def rates(members: DataFrame, domains: tuple[str, ...], history: list[np.ndarray]) -> DataFrame:
@@ -244,7 +252,10 @@ def resample(docs: DataFrame, model: Posterior, history: list[np.ndarray]) -> Da
             x, _ = presence(s, model.keys)
             w = rates_of(model.of(x), history)
             u = np.array([zlib.crc32(s.text(i), zlib.crc32(str(d).encode())) / 2**32 for i, d in enumerate(s.column("doc_id").to_pylist())])
-            yield s.batch.slice(s.lo, s.n).take(pa.array(np.repeat(np.arange(s.n), np.floor(w + u).astype(np.int64))))
+            rows = np.repeat(np.arange(s.n), np.floor(w + u).astype(np.int64))
+            part = np.cumsum(np.diff(s.offs)[rows]) // SLICE_BYTES  # a high rate must not make one batch of many copies
+            for at in np.split(rows, np.flatnonzero(np.diff(part)) + 1):
+                yield s.batch.slice(s.lo, s.n).take(pa.array(at))
 
     return docs.mapInArrow(run, docs.schema)
 
