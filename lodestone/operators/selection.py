@@ -214,31 +214,76 @@ def diversity(vectors: DataFrame, id_col: str, vec: str) -> DataFrame:
     return total.crossJoin(count).select((1 - F.try_divide(F.coalesce("total", F.lit(0.0)), "pairs")).alias("diversity"))
 
 
+#: Thresholds of ``top_jaccard``; token counts are kept by that many slots of a hash; a set of fewer tokens has no other whose score rounds to 1.
+_LEVELS, _SLOTS, _EXACT_SIZE = (0.95, 0.9, 0.8, 0.6, 0.3, 0.1), 1 << 20, 1_000_000
+
+
+def _twice(pairs: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` pairs a < b from pairs of classes (x and y: arrays of id and times; score)."""
+    both = pairs.select("score", F.explode("x").alias("x"), "y").select("score", "x", F.explode("y").alias("y")).where("x.id != y.id")
+    both = both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), "score", F.explode(F.sequence(F.lit(1), F.least(F.col("x.n") * F.col("y.n"), F.lit(k)).cast("int"))))
+    return both.select("a", "b", "score").orderBy(F.desc("score"), "a", "b").limit(k)
+
+
+def _heads(reps: DataFrame, level: float) -> DataFrame:
+    """Per class the tokens (by hash) among which it shares one with every set at ``level``: c, size, h. Rare tokens come first, by counts of hash slots."""
+    import numpy as np
+
+    h = F.transform("t", lambda x: F.xxhash64(x))
+    slots = reps.select(F.explode(h).alias("h")).groupBy(F.pmod("h", F.lit(_SLOTS)).alias("slot")).agg(F.count("*").alias("n")).toArrow()  # a row a slot
+    often = np.zeros(_SLOTS, np.int64)
+    often[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
+
+    def run(batches):
+        for b in batches:
+            c, size, flat = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), b.column(2).flatten().to_numpy()
+            row = np.repeat(np.arange(len(c)), size)
+            order = np.lexsort((flat, often[flat % _SLOTS], row))
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            keep = at < (size - np.ceil((level - 1e-6) * size).astype(np.int64) + 1)[row]
+            yield pa.record_batch([pa.array(c[row[keep]]), pa.array(size[row[keep]].astype(np.int32)), pa.array(flat[order[keep]])], names=["c", "size", "h"])
+
+    return reps.select("c", "size", h.alias("h")).mapInArrow(run, "c long, size int, h long")
+
+
 def top_jaccard(sets: DataFrame, id_col: str, tokens: str, k: int) -> DataFrame:
     """The ``k`` pairs a < b of highest Jaccard score (six digits; then by a, b) among all rows: a, b, score.
 
-    Inverted-index join over prefixes: with tokens in order of rarity, sets whose
-    score is ``t`` or more share one of the first size - ceil(t * size) + 1. The
-    threshold falls until ``k`` pairs reach it; at 0 every pair is looked at.
+    Rows with equal sets are one class, known by a digest; the first pairs of a
+    class need its ``k`` + 1 smallest ids only. If the classes have ``k`` pairs,
+    these are the result. Else classes are joined by an inverted index over
+    prefixes: with tokens in order of rarity, sets whose score is ``t`` or more
+    share one of the first size - ceil(t * size) + 1. The threshold falls until
+    ``k`` pairs reach it; at 0 every pair is looked at.
     """
-    own = materialize(sets.where(F.col(id_col).isNotNull()).select(F.xxhash64(F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("id"), F.coalesce(tokens, F.array().cast("array<string>")).alias("t")), "jaccard-sets")
-    often = own.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    ranked = own.select("row", F.explode("t").alias("token")).join(often, "token").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
-    ranked = materialize(ranked.select("row", F.col("t.token").alias("t"), F.size("t").alias("size")), "jaccard-ranked")
-    x = own.select(F.col("row").alias("ra"), F.col("id").alias("a"), F.col("t").alias("x"))
-    y = own.select(F.col("row").alias("rb"), F.col("id").alias("b"), F.col("t").alias("y"))
-    found = None
-    for t in (0.9, 0.6, 0.3, 0.0):
-        if t:
-            length = F.col("size") - F.ceil(F.lit(t - 1e-6) * F.col("size")).cast("int") + 1
-            head = ranked.select("row", "size", F.explode(F.slice("t", 1, length)).alias("token"))
-            one, two = (head.select(F.col("row").alias(r), F.col("size").alias(n), "token") for r, n in (("ra", "na"), ("rb", "nb")))
-            pairs = one.join(two, "token").where((F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= (t - 1e-6) * F.greatest("na", "nb"))).select("ra", "rb").distinct()
-            both = pairs.join(x, "ra").join(y, "rb").where("a < b")
-        else:
-            both = x.join(y, F.col("a") < F.col("b"))
-        score = both.select("a", "b", F.round(jaccard(F.col("x"), F.col("y")), 6).alias("score")).where(F.col("score") >= t)
-        found = materialize(score.orderBy(F.desc("score"), "a", "b").limit(k), "jaccard-top")
+    every = F.array_sort(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>"))))
+    own = sets.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), every.alias("t"))
+    parts = F.transform("t", lambda x: F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("null")))
+    own = own.select("id", "t", F.size("t").alias("size"), F.sha2(F.array_join(parts, ","), 256).alias("key"))
+    rows = materialize(own.where("size > 0").groupBy("key", "id").agg(F.count("*").alias("n"), F.max("size").alias("size")), "jaccard-keys")
+    first = rows.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("at") <= k + 1)
+    classes = first.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", F.least("n", F.lit(k)).alias("n")))).alias("ids"))
+    twin = classes.where(F.size("ids") > 1).orderBy(F.col("ids")[0]["id"], F.col("ids")[1]["id"]).limit(k)
+    pairs = twin.select(F.explode("ids").alias("one"), "ids").select(F.array("one").alias("x"), F.filter("ids", lambda y: y["id"] > F.col("one.id")).alias("y"), F.lit(1.0).alias("score"))
+    same = materialize(_twice(pairs, k), "jaccard-same")
+    if same.count() >= k and (rows.agg(F.max("size")).first()[0] or 0) < _EXACT_SIZE:
+        return same
+    named = classes.select("key", F.col("ids")[0]["id"].alias("m"), F.get("ids", F.lit(1))["id"].alias("m2"))
+    reps = own.where("size > 0").groupBy("key").agg(F.first("t").alias("t")).join(named, "key")
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("c"), "key", "t", F.size("t").alias("size"), "m", "m2"), "jaccard-sets")
+    x, y = (reps.select(F.col("c").alias(f"c{i}"), F.struct("key", "m", "m2").alias(f"r{i}"), F.col("t").alias(f"t{i}")) for i in (1, 2))
+    for level in _LEVELS:
+        head = materialize(_heads(reps, level), "jaccard-heads")
+        one, two = (head.select(F.col("c").alias(f"c{i}"), F.col("size").alias(f"n{i}"), "h") for i in (1, 2))
+        near = one.join(two, "h").where((F.col("c1") < F.col("c2")) & (F.least("n1", "n2") >= (level - 1e-6) * F.greatest("n1", "n2"))).select("c1", "c2").distinct()
+        both = near.join(x, "c1").join(y, "c2").select("r1", "r2", F.round(jaccard(F.col("t1"), F.col("t2")), 6).alias("score")).where(F.col("score") >= level)
+        m, equal = [F.col("r1.m"), F.col("r2.m")], F.col("r1.m") == F.col("r2.m")
+        both = both.withColumn("b", F.when(equal, F.least("r1.m2", "r2.m2")).otherwise(F.greatest(*m))).where("b is not null")  # the first pair of the two classes
+        best = materialize(both.orderBy(F.desc("score"), F.least(*m), "b").limit(k).select("score", F.col("r1.key").alias("k1"), F.col("r2.key").alias("k2")), "jaccard-best")
+        best = best.join(classes.select(F.col("key").alias("k1"), F.col("ids").alias("x")), "k1").join(classes.select(F.col("key").alias("k2"), F.col("ids").alias("y")), "k2")
+        found = materialize(_twice(best, k).unionByName(same).orderBy(F.desc("score"), "a", "b").limit(k), "jaccard-top")
         if found.count() >= k:
-            break
-    return found
+            return found
+    x, y = own.select(F.col("id").alias("a"), F.col("t").alias("x")), own.select(F.col("id").alias("b"), F.col("t").alias("y"))
+    score = x.join(y, F.col("a") < F.col("b")).select("a", "b", F.round(jaccard(F.col("x"), F.col("y")), 6).alias("score"))
+    return materialize(score.orderBy(F.desc("score"), "a", "b").limit(k), "jaccard-top")
